@@ -39,7 +39,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from bulwark.llm.common import slices
+from bulwark.llm.common import slices, small_batches
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -290,6 +290,7 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str
     file (bounded by the vocabulary) goes to the executors as a broadcast.
     """
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("valid_utf8", "boolean")] + [("token_ids", "array<int>")] * tokens
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in dict(added)]
     source = docs.select(*keep)
     shared = docs.sparkSession.sparkContext.broadcast(ranks_file)

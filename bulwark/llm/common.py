@@ -36,6 +36,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 1024) -> None:
+    """Lower the rows per Arrow batch, as Spark bounds batches by rows and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > most or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(most))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of the column ``text`` (or one row)."""
     for batch in batches:
