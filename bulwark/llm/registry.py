@@ -13,6 +13,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
 MODULES = (
     "op1_bpe",
+    "op2_quality_classifier",
     "op7_quality_rules",
     "op8_near_duplicates",
 )
