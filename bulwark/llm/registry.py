@@ -17,6 +17,7 @@ MODULES = (
     "op5_toxicity",
     "op7_quality_rules",
     "op8_near_duplicates",
+    "op9_mixture",
 )
 
 
