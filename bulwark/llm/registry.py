@@ -14,6 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 MODULES = (
     "op1_bpe",
     "op2_quality_classifier",
+    "op4_chat",
     "op5_toxicity",
     "op7_quality_rules",
     "op8_near_duplicates",
