@@ -16,6 +16,7 @@ MODULES = (
     "op2_quality_classifier",
     "op4_chat",
     "op5_toxicity",
+    "op6_html",
     "op7_quality_rules",
     "op8_near_duplicates",
     "op9_mixture",
