@@ -1,11 +1,74 @@
-"""Corpus pipeline: quality filters, near-duplicates, mixture, tokens."""
+"""Corpus pipeline: quality classifier, quality rules, near-duplicates, mixture, tokens.
 
-STAGES = []
+Each stage takes all documents that its predecessor kept.  All but the last
+return the columns of ``documents``; the last adds token counts and digests.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bulwark.llm import mixture, nbsvm, near_duplicates, quality_rules
+from bulwark.llm.bpe import encode_documents
+from bulwark.llm.common import table, training_labels
+from bulwark.llm.op1_bpe import vocabulary
+from bulwark.llm.op2_quality_classifier import THRESHOLD
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold go."""
+    model = nbsvm.train(docs, training_labels(table(spark, sf_dir, "labels"), "quality", nbsvm.PER_CLASS))
+    return nbsvm.score(docs, model, into="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base rule or whose posterior quality is low."""
+    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their targets.
+
+    The mixture says how many words of a document are taken; whole copies stand
+    for them, and the share of a copy that is left over becomes one with that
+    probability, by a hash of the id.  Documents without words are not taken.
+    """
+    plan = mixture.mix(docs.select("doc_id", "text", "source"))
+    chance = F.pmod(F.xxhash64(F.lit(mixture.SEED), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    copies = plan.documents.where("taken > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + chance).cast("int").alias("__copies"))
+    copies = copies.groupBy("doc_id").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
+    copies = copies.withColumnRenamed("doc_id", "__id")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs, vocabulary(), public_tokenizers.PATTERN, tokens=False)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", rules),
+    ("MinHash near-dedup", deduplicate),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", tokenise),
+]
+#: No SQL expresses the trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, without writing between them."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-    return docs
+    return docs.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
