@@ -14,6 +14,7 @@ ORACLE_SQL: dict[str, str] = {}
 MODULES = (
     "op1_bpe",
     "op2_quality_classifier",
+    "op3_lm_score",
     "op4_chat",
     "op5_toxicity",
     "op6_html",
