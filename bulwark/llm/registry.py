@@ -21,6 +21,7 @@ MODULES = (
     "op7_quality_rules",
     "op8_near_duplicates",
     "op9_mixture",
+    "op10_chroma",
 )
 
 
