@@ -7,12 +7,16 @@ candidates (at a similarity of 0.85 a pair shares none of the keys with a
 probability below 3e-7).  The MinHash samples are also folded into an odd sketch,
 a parity bitmap: the population count of the XOR of two bitmaps estimates the
 similarity, most precisely where it is high, and candidates far below the
-threshold go.  What is left is confirmed on the full sets.
+threshold go.  A second parity bitmap folds the whole set: its XOR never counts
+more than the symmetric difference, so it rules pairs out with certainty.  What
+is left is confirmed on the full sets.
 
 Groups are never expanded into all pairs.  First every member of a band bucket
-is held against the bucket's smallest id, and components are formed; then only
+is held against the bucket's smallest id, and components are formed.  Then only
 members of a bucket outside its largest component are held against its members
-of other components, which finds every link between components that is left.
+of other components: first the nearest one in each, and, once those links have
+joined components, all that are left, so that no link between components stays
+unseen.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from bulwark.llm.textkernel import Words, lower_ascii, mix, powers, shingle_hash
 WIDTH, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 SKETCH_WORDS = 16  # of 64 bits
+PARITY_WORDS = 32
 #: Candidates whose estimate lies this far below the threshold go: more than five standard errors.
 MARGIN = 0.15
 
@@ -78,12 +83,21 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmap of PARITY_WORDS * 64 bits of each whole set; every member flips one bit."""
+    bit = mix(np.concatenate(sets) ^ _SEEDS[0]) % np.uint64(PARITY_WORDS * 64)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((len(sets), PARITY_WORDS), dtype=np.uint64)
+    np.bitwise_xor.at(out, (rows, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def _longs(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel().view(np.int64)))
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, k0, k1, bands, odd); k0, k1: 128 bits of the set; the rest null for empty sets."""
+    """(doc_id, n_shingles, k0, k1, bands, odd, parity); k0, k1: 128 bits of the set; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -96,39 +110,59 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                 start = np.cumsum([0] + [len(s) for s in full])[:-1]
                 flat = np.concatenate(full)
                 keys = [np.add.reduceat(mix(flat ^ s), start).view(np.int64) for s in _SEEDS[:2]]
-                found = [pa.array(keys[0]), pa.array(keys[1]), _longs(band_keys(minima)), _longs(odd_sketch(minima))]
+                found = [pa.array(keys[0]), pa.array(keys[1]), _longs(band_keys(minima)), _longs(odd_sketch(minima)), _longs(parity(full))]
                 found = [x.take(at) for x in found]
             else:
-                found = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *found], names=["doc_id", "n_shingles", "k0", "k1", "bands", "odd"])
+                found = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *found], names=["doc_id", "n_shingles", "k0", "k1", "bands", "odd", "parity"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, odd array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, k0 long, k1 long, bands array<long>, odd array<long>, parity array<long>")
 
 
-def _difference(left: str, right: str) -> Column:
-    """Estimated similarity by the odd sketches: samples that differ, from the bits that differ."""
+def _flipped(left: str, right: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(words)), F.lit(0))
+
+
+def _estimate() -> Column:
+    """Similarity by the odd sketches: the samples that differ, from the bits that differ."""
     bits = SKETCH_WORDS * 64
-    flipped = sum((F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    share = F.least(2.0 * flipped / bits, F.lit(0.999))
+    share = F.least(2.0 * _flipped("odd_a", "odd_b", SKETCH_WORDS) / bits, F.lit(0.999))
     return 1 + bits / 2.0 * F.log(1 - share) / (2.0 * BANDS * ROWS)
 
 
 def _plausible(percent: int) -> Column:
-    size = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return size & (_difference("odd_a", "odd_b") >= percent / 100 - MARGIN)
+    size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # a link differs in at most (100 - percent) / (100 + percent) of both sizes
+    near = (100 + percent) * _flipped("parity_a", "parity_b", PARITY_WORDS) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return size & near & (_estimate() >= percent / 100 - MARGIN)
 
 
-def _side(frame: DataFrame, s: str) -> DataFrame:
-    return frame.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("odd").alias(f"odd_{s}"))
+_SKETCH = ("n_shingles", "odd", "parity")
+_SHORT = {"n_shingles": "n", "odd": "odd", "parity": "parity"}
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
-    pairs = materialise(pairs.select("a", "b").distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.join(ids, "doc_id", "left_semi")
+def _side(frame: DataFrame, s: str, *more: str) -> DataFrame:
+    return frame.select(*more, F.col("id").alias(s), *[F.col(c).alias(f"{_SHORT[c]}_{s}") for c in _SKETCH])
+
+
+def _between(slim: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, part_b, far): plausible pairs of one bucket but different components; a is outside the bucket's largest."""
+    at = slim.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    inside = buckets.select("key", "id").join(at.select("id", "part"), "id")
+    tally = inside.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = tally.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("main"))
+    mixed = materialise(inside.join(materialise(largest), "key").join(slim, "id"))
+    minor = _side(mixed.where("part <> main"), "a", "key", F.col("part").alias("part_a"))
+    every = _side(mixed, "b", "key", "main", F.col("part").alias("part_b"))
+    # two minor members meet once
+    wanted = (minor["key"] == every["key"]) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _plausible(percent)
+    return minor.join(every, wanted).select("a", "b", "part_b", _flipped("parity_a", "parity_b", PARITY_WORDS).alias("far"))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union; texts: (doc_id, text)."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -156,39 +190,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     small_batches(docs.sparkSession)
     marked = materialise(sketches(docs, text))
     members = marked.where("n_shingles > 0 and doc_id is not null")
-    standing = F.min(F.struct("doc_id", "n_shingles", "odd", "bands")).alias("m")
+    standing = F.min(F.struct("doc_id", *_SKETCH, "bands")).alias("m")
     # aggregates that meet a large side are written first: a hot key can then be split in the join
-    classes = materialise(members.groupBy("k0", "k1").agg(standing).select("k0", "k1", F.col("m.doc_id").alias("id"), "m.n_shingles", "m.odd", "m.bands"))
+    classes = materialise(members.groupBy("k0", "k1").agg(standing).select("k0", "k1", F.col("m.doc_id").alias("id"), *[f"m.{c}" for c in _SKETCH], "m.bands"))
     linked = members.select("doc_id", "k0", "k1").join(classes.select("k0", "k1", "id"), ["k0", "k1"])
     same = linked.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    sketch = classes.select("id", "n_shingles", "odd", "bands")
 
-    # pass 1: members of a bucket against its smallest id
-    buckets = sketch.select("id", F.explode("bands").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    pivots = materialise(pivots)
+    buckets = classes.select("id", F.explode("bands").alias("key"))
+    pivots = materialise(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
     buckets = materialise(buckets.join(pivots, "key"))
-    slim = materialise(sketch.select("id", "n_shingles", "odd").join(buckets.select("id").distinct(), "id", "left_semi"))
+    ids = buckets.select("id").distinct()
+    slim = materialise(classes.select("id", *_SKETCH).join(ids, "id", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = materialise(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+
+    # members of a bucket against its smallest id
     first = buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     first = first.join(_side(slim, "a"), "a").join(_side(slim, "b"), "b").where(_plausible(percent))
-    links = materialise(confirm(first, docs, text, percent))
-
-    # pass 2: what lies outside the largest component of a bucket against the bucket's other components
-    parts = connected_components(links)
-    at = slim.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    inside = buckets.select("key", "id").join(at, "id")
-    tally = inside.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = tally.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("main"))
-    largest = materialise(largest)
-    inside = materialise(inside.join(largest, "key"))
-    minor = inside.where("part <> main").select("key", F.col("part").alias("part_a"), *[F.col(c).alias(d) for c, d in (("id", "a"), ("n_shingles", "n_a"), ("odd", "odd_a"))])
-    every = inside.select("key", F.col("part").alias("part_b"), F.col("main").alias("main_b"), *[F.col(c).alias(d) for c, d in (("id", "b"), ("n_shingles", "n_b"), ("odd", "odd_b"))])
-    # two minor members meet once
-    wanted = (minor["key"] == every["key"]) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & _plausible(percent)
-    second = minor.join(every, wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirm(second, docs, text, percent)
-
-    whole = connected_components(links.unionByName(more).unionByName(same))
+    links = materialise(confirm(first, texts, percent))
+    # across components: the nearest of each, then all
+    found = _between(slim, buckets, connected_components(links), percent)
+    nearest = found.groupBy("a", "part_b").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    links = materialise(links.unionByName(confirm(nearest, texts, percent)))
+    rest = confirm(_between(slim, buckets, connected_components(links), percent), texts, percent)
+
+    whole = connected_components(links.unionByName(rest).unionByName(same))
     out = marked.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
