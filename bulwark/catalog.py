@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from bulwark.queries import multivariate, scalar, univariate
+from bulwark.queries.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "huber_onestep_by_flag"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "multivariate", "scalar", "univariate"]
