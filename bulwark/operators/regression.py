@@ -310,3 +310,29 @@ class MMRegression(_Base):
             return self._model(beta, features, label, start.scale, {"n_iter": it})
         finally:
             rows.unpersist()
+
+
+def trimmed_steps(rows: DataFrame, features: Sequence[str], label: str, beta: np.ndarray, h: int, steps: int) -> np.ndarray:
+    """Coefficients (intercept last) after so many concentration steps from a given start."""
+    n, x, y = rows.count(), [*(F.col(c) for c in features), F.lit(1.0)], F.col(label)
+    for _ in range(steps):
+        r2 = _residual(x, y, beta) ** 2
+        (cut,) = order_statistics(rows, [r2], h, n)
+        ((gram, rhs),) = weighted_gram(rows, x, y, [F.when(r2 <= float(cut), 1.0).otherwise(0.0)])
+        beta = _solve(gram, rhs)
+    return beta
+
+
+def reweighted_steps(rows: DataFrame, features: Sequence[str], label: str, beta: np.ndarray, scale: float, rho: Rho, steps: int) -> np.ndarray:
+    """Coefficients (intercept last) after so many reweighted least-squares steps at a fixed scale."""
+    x, y = [*(F.col(c) for c in features), F.lit(1.0)], F.col(label)
+    for _ in range(steps):
+        ((gram, rhs),) = weighted_gram(rows, x, y, [rho.weight(_residual(x, y, beta) / float(scale))])
+        beta = _solve(gram, rhs)
+    return beta
+
+
+def least_squares(rows: DataFrame, features: Sequence[str], label: str) -> np.ndarray:
+    x = [*(F.col(c) for c in features), F.lit(1.0)]
+    ((gram, rhs),) = weighted_gram(rows, x, F.col(label), [F.lit(1.0)])
+    return _solve(gram, rhs)

@@ -379,3 +379,15 @@ def wrapped_correlation(x: np.ndarray) -> np.ndarray:
     m = np.median(x, axis=0)
     s = np.median(np.abs(x - m), axis=0) / MAD_NORMAL
     return np.corrcoef(wrap_psi_np((x - m) / np.where(s > 0, s, 1.0)), rowvar=False)
+
+
+def c_steps(rows: DataFrame, columns: Sequence[str], location: np.ndarray, cov: np.ndarray, h: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(location, covariance, determinant) after so many concentration steps on all rows, from a given start."""
+    n = rows.count()
+    det = float(np.linalg.det(cov))
+    for _ in range(steps):
+        d = quadratic_form([F.col(c) for c in columns], location, np.linalg.pinv(cov, hermitian=True))
+        (cut,) = order_statistics(rows, [d], h, n)
+        ((_, location, cov),) = subset_moments(rows, columns, [d <= float(cut)], np.asarray(location))
+        det = float(np.linalg.det(cov))
+    return location, cov, det

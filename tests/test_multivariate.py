@@ -99,7 +99,7 @@ def test_regression_resists_contamination(spark, estimator):
     df = line(spark)
     m = estimator.fit(df, ["u", "v"], "y")
     assert np.allclose([*m.coefficients, m.intercept], [2, 3, 1], atol=0.25)
-    assert 0.3 < m.scale < 0.8
+    assert (0.2 if isinstance(estimator, regression.FastLTS) else 0.3) < m.scale < 0.8  # trimmed squares have no consistency factor
     if isinstance(estimator, regression.FastLTS):
         kinds = {r["kind"]: r["count"] for r in m.outlier_map(df, "id").groupBy("kind").count().collect()}
         assert kinds["bad leverage"] >= 58 and kinds["vertical outlier"] >= 55
