@@ -28,7 +28,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Words per block; a source of few words has blocks of size div BLOCK words, one at least.
 BLOCK, SHARD_SLOTS, MOST, SEED = 64, 4096, 3, 20_240
 #: Documents per group of the two-level running sum over a source; slots made by one row.
-GROUP_ROWS, CHUNK = 50_000, 4096
+GROUP_ROWS, CHUNK = 1000, 4096
+#: Slots made by one task.
+TASK_SLOTS = 100_000
 _MIXES, _WALK = 4, 24
 
 
@@ -124,15 +126,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", most: int =
     spans = spans.select("sid", "start", "doc_id", "size", "block", (low - F.col("start")).alias("low"), (high - low).alias("words"))
 
     chunks = sources.where("quota > 0").select("sid", "blocks", "quota", "offset", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK))).alias("chunk"))
-    numbers = chunks.repartition("sid", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("j"))
+    # chunks are a few bytes each but make many rows: dealt by their number, not by their size
+    total = sources.agg(F.max("slots")).first()[0] or 0
+    numbers = chunks.repartition(max(1, -(-total // TASK_SLOTS)), "sid", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("j"))
     turn = F.floor(F.col("j") / F.col("blocks"))
     slot = permuted(F.col("offset") + F.col("j"), F.col("slots"), F.lit(-1))
     slots = numbers.select("sid", slot.alias("slot"), turn.alias("round"), permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("sid"), turn).alias("block"))
     slots = slots.select(F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", "sid", "round", "block")
 
     copies = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("copies"))
-    taken = spans.join(copies, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
-    full = placed.select("sid", "start", "doc_id", "size").join(taken, ["sid", "start"], "left").select("sid", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    # the planner takes exploded rows for as few as before: without the hint it would broadcast them
+    taken = spans.join(copies.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
+    full = placed.select("sid", "start", "doc_id", "size").join(taken.hint("merge"), ["sid", "start"], "left").select("sid", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     bare = known.where("size = 0").select("sid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     out = full.unionByName(bare).join(sources.select("sid", "source", "source_size", "target"), "sid")
     return Mix(sources, slots, spans, out.select("doc_id", "source", "size", "source_size", "target", "taken"))
