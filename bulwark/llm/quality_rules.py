@@ -3,8 +3,11 @@
 Every rule looks at a few counts of a text and votes good (1), bad (-1) or
 abstains (0).  A latent class (good or bad) explains the votes; the rules are
 independent given the class, and expectation-maximisation estimates for each
-rule how often it votes what in either class, i.e. its two accuracies.  A text
-is kept when its posterior probability of being good reaches the threshold.
+rule how often it votes what in either class, i.e. its two accuracies.  Rules
+are written so that they seldom accuse a good text, and the estimate is held to
+that: at most ``FALSE_ALARMS`` of the good texts (without the bound, kinds of
+bad text that one rule alone sees would drift into the good class).  A text is
+kept when its posterior probability of being good reaches the threshold.
 
 The counts need one pass over the texts.  Expectation-maximisation runs on the
 table of vote patterns with their frequencies, which has at most 3^rules rows
@@ -23,6 +26,7 @@ WINDOW = 8
 ROUNDS = 12
 #: Added to each count of (rule, class, vote), so that no vote is impossible.
 SMOOTHING = 1.0
+FALSE_ALARMS = 0.001
 #: Start: probability of being good with no bad vote, and with any.
 START = (0.95, 0.05)
 THRESHOLD = 0.5
@@ -31,7 +35,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Rule:
-    """A share of two counts; good up to ``good``, bad above ``bad``, no vote between or where ``over`` is 0."""
+    """A share of two counts; bad above ``bad``, good up to ``good`` (never if that is negative), else no vote."""
 
     name: str
     part: str
@@ -48,12 +52,12 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", 0.02, 0.05),
-    Rule("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.1, 0.3),
-    Rule("capitals", "n_upper", "word_chars", 0.2, 0.4),
-    Rule("exclamations", "n_marks", "n_words", 0.1, 0.5),
-    Rule("long_words", "word_chars", "n_words", 12.0, 20.0),
+    Rule("symbols", "n_symbols", "word_chars", -1.0, 0.05),
+    Rule("repeats", "n_repeat_words", "n_words", -1.0, 0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", -1.0, 0.5),
+    Rule("capitals", "n_upper", "word_chars", 0.1, 0.4),
+    Rule("exclamations", "n_marks", "n_words", -1.0, 0.5),
+    Rule("long_words", "word_chars", "n_words", 10.0, 20.0),
 )
 
 
@@ -143,7 +147,8 @@ def fit(counts: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS
                     sums += [F.sum(F.when(F.col(n) == v, w * F.col("count")).otherwise(0.0)).alias(f"{n}_{v}_{k}") for k, w in enumerate((good, 1 - good))]
             row = patterns.agg(*sums).first()
             g, b = row["good"] or 0.0, row["bad"] or 0.0
-            odds = tuple({v: tuple(((row[f"{n}_{v}_{k}"] or 0.0) + SMOOTHING) / (t + 3 * SMOOTHING) for k, t in enumerate((g, b))) for v in (-1, 0, 1)} for n in names)
+            share = lambda n, v, k: ((row[f"{n}_{v}_{k}"] or 0.0) + SMOOTHING) / ((g, b)[k] + 3 * SMOOTHING)  # noqa: B023, E731
+            odds = tuple({-1: (min(share(n, -1, 0), FALSE_ALARMS), share(n, -1, 1)), 0: (share(n, 0, 0), share(n, 0, 1)), 1: (share(n, 1, 0), share(n, 1, 1))} for n in names)
             model = VoteModel((g + 1) / (g + b + 2), odds)
             good = model.posterior(votes)
     finally:
@@ -185,8 +190,9 @@ q_patterns as materialized (select {", ".join(names)}, count(*)::double as n fro
 q_e0 as (select *, case when least({", ".join(names)}) = -1 then {START[1]} else {START[0]} end as g from q_patterns)"""
     ]
     votes = [(n, v) for n in names for v in (-1, 0, 1)]
+    most = lambda v: FALSE_ALARMS if v == -1 else 1.0
     for t in range(rounds):
-        sums = ", ".join(f"(coalesce(sum(case when {n} = {v} then n * g end), 0) + {SMOOTHING}) / (sum(n * g) + {3 * SMOOTHING}) as g_{n}_{v + 1}, (coalesce(sum(case when {n} = {v} then n * (1 - g) end), 0) + {SMOOTHING}) / (sum(n * (1 - g)) + {3 * SMOOTHING}) as b_{n}_{v + 1}" for n, v in votes)
+        sums = ", ".join(f"least({most(v)}, (coalesce(sum(case when {n} = {v} then n * g end), 0) + {SMOOTHING}) / (sum(n * g) + {3 * SMOOTHING})) as g_{n}_{v + 1}, (coalesce(sum(case when {n} = {v} then n * (1 - g) end), 0) + {SMOOTHING}) / (sum(n * (1 - g)) + {3 * SMOOTHING}) as b_{n}_{v + 1}" for n, v in votes)
         side = lambda c: " * ".join(f"(case {n} when 1 then {c}_{n}_2 when -1 then {c}_{n}_0 else {c}_{n}_1 end)" for n in names)
         parts.append(f"q_m{t} as materialized (select (sum(n * g) + 1) / (sum(n) + 2) as prior, {sums} from q_e{t})")
         parts.append(f"q_e{t + 1} as materialized (select {', '.join(names)}, n, prior * {side('g')} / (prior * {side('g')} + (1 - prior) * {side('b')}) as g from q_patterns, q_m{t})")
