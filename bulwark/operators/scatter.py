@@ -23,6 +23,7 @@ from bulwark.operators.preprocessing import wrapping_transformation
 from bulwark.operators.univariate import MedianMad, Qn, RobustScale, kth_pair_difference, qn_factor
 from bulwark.plans.frames import numeric, pair_long
 from bulwark.plans.moments import hashed_sample, medians, order_statistics, subset_moments
+from bulwark.plans.ship import ship
 
 SAMPLE_ROWS = 1500
 PARTITION_ROWS = 300
@@ -128,6 +129,7 @@ def kendall_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     def per_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, _tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())]], columns=["f1", "f2", "tau"])
 
+    ship(rows.sparkSession)
     return pair_long(rows, columns).groupBy("f1", "f2").applyInPandas(per_pair, "f1 string, f2 string, tau double")
 
 
