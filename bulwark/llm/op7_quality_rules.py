@@ -13,4 +13,4 @@ _COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_re
 
 @query("op7_quality_rules", sql=f"with {oracle_ctes()}\nselect {', '.join(_COLUMNS)} from judged")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents", "doc_id", "text")).select(*_COLUMNS)
+    return judge(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False).select(*_COLUMNS)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bulwark.llm.common import materialise
+
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 ROUNDS = 12
@@ -156,15 +158,22 @@ def fit(counts: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS
     return model
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
     """Adds COUNTS, base_failed, quality (posterior) and kept to every row of ``docs``.
 
     Columns of these names are replaced.  Empty and null texts fail the base
     rule.  Repeated rows count as often as they occur; an empty table stays
-    empty.  The texts are read twice (once to fit) and never shuffled.
+    empty.  Texts are never shuffled: they are read and counted twice, once to
+    fit, or, where the result need not carry them, counted once and the counts
+    written.
     """
-    model = fit(with_counts(docs.select(text), text), rules)
-    counted = with_counts(docs.drop("base_failed", "quality", "kept"), text)
+    fresh = docs.drop("base_failed", "quality", "kept")
+    if with_text:
+        model = fit(with_counts(docs.select(text), text), rules)
+        counted = with_counts(fresh, text)
+    else:
+        counted = materialise(with_counts(fresh, text).drop(text))
+        model = fit(counted, rules)
     out = counted.withColumn("base_failed", base_failed()).withColumn("quality", model.posterior([r.vote() for r in rules]))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
