@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bulwark.plans.ship import ship
+
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
 #: Ranks of labelled rows are drawn by this hash seed.
@@ -37,7 +39,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, most: int = 1024) -> None:
-    """Lower the rows per Arrow batch, as Spark bounds batches by rows and texts may be long."""
+    """Ready the session for Arrow over texts: fewer rows per batch (Spark bounds batches by rows, and texts may be long), and the package shipped."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > most or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(most))
