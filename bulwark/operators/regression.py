@@ -18,7 +18,7 @@ from bulwark.functions.kernels import MAD_NORMAL, Rho, Tukey, mahalanobis
 from bulwark.functions.special import chi2_ppf, norm_ppf
 from bulwark.operators.scatter import FastMCD
 from bulwark.plans.frames import numeric
-from bulwark.plans.moments import hashed_sample, medians, order_statistics, weighted_gram
+from bulwark.plans.moments import hashed_sample, medians, order_statistics, weighted_gram, weighted_gram_and
 
 SAMPLE_ROWS = 1500
 
@@ -104,6 +104,15 @@ def _solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(gram, rhs, rcond=None)[0]
 
 
+def _distinct(found: list[tuple[float, np.ndarray]]) -> list[np.ndarray]:
+    """Coefficients in the order of their loss, without those that another start has reached too."""
+    out: list[np.ndarray] = []
+    for _, beta in sorted(found, key=lambda f: f[0]):
+        if not any(np.allclose(beta, b, rtol=1e-5, atol=1e-8) for b in out):
+            out.append(beta)
+    return out
+
+
 class _Base:
     fit_intercept = True
 
@@ -160,18 +169,13 @@ class FastLTS(_Base):
                 r2 = [_residual(x, y, b) ** 2 for b in live]
                 cuts = order_statistics(rows, r2, h, n)
                 masks = [v <= float(t) for v, t in zip(r2, cuts, strict=True)]
-                sums = rows.agg(*[F.avg(F.when(m, v)).alias(f"l{i}") for i, (m, v) in enumerate(zip(masks, r2, strict=True))]).first()
-                new = [float(v) for v in sums]
-                settled = all(abs(a - b) <= max(self.tolerance, 1e-12 * abs(b)) for a, b in zip(losses, new, strict=True))
+                grams, new = weighted_gram_and(rows, x, y, [F.when(m, 1.0).otherwise(0.0) for m in masks], [F.avg(F.when(m, v)) for m, v in zip(masks, r2, strict=True)])
                 order = np.argsort(new)
-                if settled:
-                    best = live[order[0]]
-                    loss = new[order[0]]
+                best, loss = live[order[0]], float(new[order[0]])
+                if all(abs(a - b) <= max(self.tolerance, 1e-12 * abs(b)) for a, b in zip(losses, new, strict=True)):
                     break
                 keep = order[: max(1, len(order) // 2)] if step > 1 else order
-                grams = weighted_gram(rows, x, y, [F.when(masks[i], 1.0).otherwise(0.0) for i in keep])
-                live, losses = [_solve(*g) for g in grams], [new[i] for i in keep]
-                best, loss = live[0], losses[0]
+                live, losses = [_solve(*grams[i]) for i in keep], [float(new[i]) for i in keep]
             scale = correction_factor(p, n, h / n) * math.sqrt(loss)
             details = {"h": h, "raw_coefficients": best.copy(), "raw_scale": scale, "n_steps": step}
             if self.reweighting:
@@ -200,7 +204,17 @@ class FastLTS(_Base):
                 r2 = (y - x @ beta) ** 2
                 pick = np.argpartition(r2, h - 1)[:h]
             found.append((float(r2[pick].mean()), beta))
-        return [b for _, b in sorted(found, key=lambda f: f[0])[: self.n_best_models]]
+        settled = []
+        for loss, beta in sorted(found, key=lambda f: f[0])[: self.n_best_models]:
+            for _ in range(self.most_steps):
+                pick = np.argpartition((y - x @ beta) ** 2, h - 1)[:h]
+                beta = np.linalg.lstsq(x[pick], y[pick], rcond=None)[0]
+                new = float(np.sort((y - x @ beta) ** 2)[:h].mean())
+                if loss - new <= 1e-12 * abs(loss):
+                    break
+                loss = new
+            settled.append((new, beta))
+        return _distinct(settled)
 
 
 def _m_scale(r: np.ndarray, rho: Rho, b: float, s: float, steps: int, tolerance: float = 1e-10) -> float:
@@ -223,7 +237,7 @@ class SRegression(_Base):
     max_scale_iterations: int = 50
     b: float | None = None
     fit_intercept: bool = True
-    relative_tolerance: float = 1e-7
+    relative_tolerance: float = 1e-6
     random_state: int = 101
     most_steps: int = 50
 
@@ -234,19 +248,19 @@ class SRegression(_Base):
         rows, n, x, y, sample = self._frame(df, features, label)
         try:
             live = self._starts(sample)
-            scales = [None] * len(live)
+            scales = [float(v) for v in medians(rows, [F.abs(_residual(x, y, b)) for b in live], n) / MAD_NORMAL]
             for step in range(1, self.most_steps + 1):
-                r = [_residual(x, y, b) for b in live]
-                if scales[0] is None:
-                    scales = list(medians(rows, [F.abs(v) for v in r], n) / MAD_NORMAL)
-                scales = self._scales(rows, r, scales, 2 if step == 1 else 3)
-                grams = weighted_gram(rows, x, y, [self.rho.weight(v / float(max(s, 1e-300))) for v, s in zip(r, scales, strict=True)])
+                # one job: Gram matrices at the scale so far, and the fixed-point step of that scale
+                r = [_residual(x, y, b) / max(s, 1e-300) for b, s in zip(live, scales, strict=True)]
+                grams, means = weighted_gram_and(rows, x, y, [self.rho.weight(v) for v in r], [F.avg(self.rho.rho(v)) for v in r])
                 new = [_solve(*g) for g in grams]
-                gaps = [np.linalg.norm(a - b) <= self.relative_tolerance * max(self.relative_tolerance, np.linalg.norm(b)) for a, b in zip(new, live, strict=True)]
-                order = np.argsort(scales)
-                keep = order[: max(1, len(order) // 2)] if step > 1 else order
-                done = gaps[order[0]]
-                live, scales = [new[i] for i in keep], [float(scales[i]) for i in keep]
+                after = [s * math.sqrt(float(m) / self._level()) for s, m in zip(scales, means, strict=True)]
+                order = np.argsort(after)
+                best = order[0]
+                near = np.linalg.norm(new[best] - live[best]) <= self.relative_tolerance * max(self.relative_tolerance, np.linalg.norm(live[best]))
+                done = near and abs(after[best] - scales[best]) <= 1e-6 * scales[best]
+                keep = order[: max(1, len(order) // 2)] if step > 2 else order
+                live, scales = [new[i] for i in keep], [after[i] for i in keep]
                 if done:
                     break
             r = _residual(x, y, live[0])
@@ -282,7 +296,18 @@ class SRegression(_Base):
                 beta = _solve(x.T @ (x * w[:, None]), x.T @ (w * y))
             r = y - x @ beta
             found.append((_m_scale(r, self.rho, self._level(), float(np.median(np.abs(r)) / MAD_NORMAL), 10), beta))
-        return [b for _, b in sorted(found, key=lambda f: f[0])[: self.n_best_subsets]]
+        settled = []
+        for s, beta in sorted(found, key=lambda f: f[0])[: self.n_best_subsets]:
+            for _ in range(200):
+                r = y - x @ beta
+                s = _m_scale(r, self.rho, self._level(), s, 5)
+                w = self.rho.weight_np(r / max(s, 1e-300))
+                new = _solve(x.T @ (x * w[:, None]), x.T @ (w * y))
+                moved, beta = np.linalg.norm(new - beta), new
+                if moved <= 1e-9 * max(1.0, np.linalg.norm(beta)):
+                    break
+            settled.append((s, beta))
+        return _distinct(settled)
 
 
 @dataclass(frozen=True)
@@ -299,14 +324,15 @@ class MMRegression(_Base):
         rows, n, x, y, _ = self._frame(df, features, label)
         try:
             beta = np.append(start.coefficients, start.intercept)
+            old, s = None, max(start.scale, 1e-300)
             for it in range(1, self.max_iterations + 1):
                 r = _residual(x, y, beta)
-                ((gram, rhs),) = weighted_gram(rows, x, y, [self.rho.weight(r / max(start.scale, 1e-300))])
-                new = _solve(gram, rhs)
-                moved = rows.agg(F.max(F.abs(_residual(x, y, new) - r))).first()[0]
-                beta = new
-                if moved < self.epsilon * max(1.0, start.scale):
+                # how far the last step moved comes out of the same job as the next one
+                gap = [F.max(F.abs(_residual(x, y, old) - r))] if old is not None else []
+                ((gram, rhs),), moved = weighted_gram_and(rows, x, y, [self.rho.weight(r / s)], gap)
+                if moved and moved[0] < self.epsilon * max(1.0, start.scale):
                     break
+                old, beta = beta, _solve(gram, rhs)
             return self._model(beta, features, label, start.scale, {"n_iter": it})
         finally:
             rows.unpersist()

@@ -323,7 +323,16 @@ class FastMCD(_Mcd):
             for _ in range(self.n_initial_c_steps):
                 mean, cov, det = c_step(sample, mean, cov, h)
             refined.append((det, mean, cov))
-        return [(m, c) for _, m, c in sorted(refined, key=lambda f: f[0])[: self.n_best_subsets]]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for det, mean, cov in sorted(refined, key=lambda f: f[0])[: self.n_best_subsets]:
+            for _ in range(self.most_steps):
+                old = det
+                mean, cov, det = c_step(sample, mean, cov, h)
+                if old - det <= self.tolerance * abs(old):
+                    break
+            if not any(np.allclose(cov, c, rtol=1e-6) and np.allclose(mean, m, rtol=1e-6) for m, c in out):  # reached by another start too
+                out.append((mean, cov))
+        return out
 
 
 def _qn_np(x: np.ndarray) -> float:

@@ -8,8 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rows, order statistics are exact; beyond, their rank is off by at most a 1e-5 part of the rows.
-EXACT_ROWS = 1_000_000
+#: Up to so many rows, order statistics come from the sorted values.
+SMALL_ROWS = 20_000
+#: Up to so many rows they are exact by a bracket; beyond, their rank is off by at most a 1e-5 part of the rows.
+EXACT_ROWS = 100_000_000
+#: Rank error of the sketch that gives the bracket, as one over this part of the rows.
+SKETCH = 10_000
 #: Aggregates in one job; more would make methods too large to compile.
 MOST_AGGREGATES = 400
 
@@ -21,16 +25,44 @@ def _run(df: DataFrame, aggregates: list[Column]) -> list:
     return out
 
 
+def _ranked(df: DataFrame, values: Sequence[Column], ranks: Sequence[int], n: int) -> list[list[float]]:
+    """For each value column, its order statistics of the given neighbouring ranks (from 1) over n rows without nulls.
+
+    Small inputs are sorted whole.  Larger ones take a sketch of two
+    quantiles around the ranks, then count what lies below the bracket and sort
+    what lies in it: two jobs for all columns, with about n / 2000 values kept.
+    """
+    if n <= SMALL_ROWS or n > EXACT_ROWS:
+        # sorted values rather than percentile(), which interpolates and so rounds
+        small = lambda v, r: F.get(F.sort_array(F.collect_list(v)), F.lit(r - 1))
+        large = lambda v, r: F.percentile_approx(v, (r - 1) / max(n - 1, 1), 100_000)
+        got = _run(df, [(small if n <= SMALL_ROWS else large)(v, r) for v in values for r in ranks])
+        return [got[i * len(ranks) : (i + 1) * len(ranks)] for i in range(len(values))]
+    low, high = max(0.0, (min(ranks) - 1) / n - 1.5 / SKETCH), min(1.0, max(ranks) / n + 1.5 / SKETCH)
+    brackets = _run(df, [F.percentile_approx(v, [low, high], SKETCH) for v in values])
+    aggregates = []
+    for v, (a, z) in zip(values, brackets, strict=True):
+        aggregates += [F.sum(F.when(v < float(a), 1).otherwise(0)), F.sort_array(F.collect_list(F.when((v >= float(a)) & (v <= float(z)), v)))]
+    got, out = _run(df, aggregates), []
+    for k in range(len(values)):
+        below, inside = got[2 * k], got[2 * k + 1]
+        if below < min(ranks) and below + len(inside) >= max(ranks):
+            out.append([inside[r - below - 1] for r in ranks])
+        else:  # the sketch promises its error, but the promise is checked
+            out.append(_run(df, [F.percentile(values[k], F.lit((r - 1) / (n - 1))) for r in ranks]))
+    return out
+
+
 def order_statistics(df: DataFrame, values: Sequence[Column], rank: int, n: int) -> list[float]:
-    """The ``rank``-th smallest (from 1) of each value column over all n rows, in one job."""
-    share = (rank - 1) / (n - 1) if n > 1 else 0.0
-    pick = (lambda v: F.percentile(v, F.lit(share))) if n <= EXACT_ROWS else (lambda v: F.percentile_approx(v, share, 100_000))
-    return _run(df, [pick(v) for v in values])
+    """The ``rank``-th smallest (from 1) of each value column over all n rows."""
+    return [v[0] for v in _ranked(df, values, [rank], n)]
 
 
 def medians(df: DataFrame, values: Sequence[Column], n: int) -> np.ndarray:
-    pick = F.median if n <= EXACT_ROWS else (lambda v: F.percentile_approx(v, 0.5, 100_000))
-    return np.array([np.nan if v is None else v for v in _run(df, [pick(v) for v in values])], dtype=float)
+    """Median of each value column over n rows without nulls (mean of the two middle values for even n)."""
+    if n == 0:
+        return np.full(len(values), np.nan)
+    return np.array([np.mean(v) for v in _ranked(df, values, sorted({(n + 1) // 2, n // 2 + 1}), n)], dtype=float)
 
 
 def subset_moments(df: DataFrame, columns: Sequence[str], masks: Sequence[Column | None], centre: np.ndarray, weights: Sequence[Column | None] | None = None, ddof: int = 1) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -59,17 +91,23 @@ def subset_moments(df: DataFrame, columns: Sequence[str], masks: Sequence[Column
     return out
 
 
-def weighted_gram(df: DataFrame, x: Sequence[Column], y: Column, weights: Sequence[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(X'WX, X'Wy) for each weight column, in one scan; put a literal one into ``x`` for an intercept."""
+def weighted_gram_and(df: DataFrame, x: Sequence[Column], y: Column, weights: Sequence[Column], more: Sequence[Column]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+    """(X'WX, X'Wy) for each weight column, and further aggregates, in one scan."""
     p = len(x)
     aggregates = [F.sum(w * t) for w in weights for t in [x[i] * x[j] for i in range(p) for j in range(i, p)] + [v * y for v in x]]
-    got = np.array([v or 0.0 for v in _run(df, aggregates)], dtype=float).reshape(len(weights), -1)
+    found = _run(df, [*aggregates, *more])
+    got = np.array([v or 0.0 for v in found[: len(aggregates)]], dtype=float).reshape(len(weights), -1)
     out = []
     for row in got:
         gram = np.zeros((p, p))
         gram[np.triu_indices(p)] = row[: p * (p + 1) // 2]
         out.append((gram + np.triu(gram, 1).T, row[p * (p + 1) // 2 :]))
-    return out
+    return out, found[len(aggregates) :]
+
+
+def weighted_gram(df: DataFrame, x: Sequence[Column], y: Column, weights: Sequence[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(X'WX, X'Wy) for each weight column, in one scan; put a literal one into ``x`` for an intercept."""
+    return weighted_gram_and(df, x, y, weights, [])[0]
 
 
 def hashed_sample(df: DataFrame, columns: Sequence[str], most: int, seed: int = 0) -> np.ndarray:
