@@ -11,11 +11,12 @@ kept when its posterior probability of being good reaches the threshold.
 
 The counts need one pass over the texts.  Expectation-maximisation runs on the
 table of vote patterns with their frequencies, which has at most 3^rules rows
-whatever the input; per round one row of sums comes to the driver.
+whatever the input; per round three sums a rule come to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -142,14 +143,13 @@ def fit(counts: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS
     patterns = patterns.coalesce(1).sortWithinPartitions(*names).persist()
     try:
         good = F.when(F.array_contains(F.array(*votes), -1), START[1]).otherwise(START[0])
+        cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("vote")) for n in names])
         for _ in range(rounds):
-            sums = [F.sum(good * F.col("count")).alias("good"), F.sum((1 - good) * F.col("count")).alias("bad")]
-            for n in names:
-                for v in (-1, 0, 1):
-                    sums += [F.sum(F.when(F.col(n) == v, w * F.col("count")).otherwise(0.0)).alias(f"{n}_{v}_{k}") for k, w in enumerate((good, 1 - good))]
-            row = patterns.agg(*sums).first()
-            g, b = row["good"] or 0.0, row["bad"] or 0.0
-            share = lambda n, v, k: ((row[f"{n}_{v}_{k}"] or 0.0) + SMOOTHING) / ((g, b)[k] + 3 * SMOOTHING)  # noqa: B023, E731
+            long = patterns.select(cells.alias("cells"), "count", good.alias("good")).select(F.inline("cells"), "count", "good")
+            sums = long.groupBy("rule", "vote").agg(F.sum(F.col("good") * F.col("count")).alias("g"), F.sum((1 - F.col("good")) * F.col("count")).alias("b"))
+            found = {(r["rule"], r["vote"]): (r["g"], r["b"]) for r in sums.collect()}  # at most three rows a rule
+            g, b = (math.fsum(v[k] for (n, _), v in found.items() if n == names[0]) for k in (0, 1))
+            share = lambda n, v, k: (found.get((n, v), (0.0, 0.0))[k] + SMOOTHING) / ((g, b)[k] + 3 * SMOOTHING)  # noqa: B023, E731
             odds = tuple({-1: (min(share(n, -1, 0), FALSE_ALARMS), share(n, -1, 1)), 0: (share(n, 0, 0), share(n, 0, 1)), 1: (share(n, 1, 0), share(n, 1, 1))} for n in names)
             model = VoteModel((g + 1) / (g + b + 2), odds)
             good = model.posterior(votes)
