@@ -38,9 +38,6 @@ def mahalanobis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "part").select("p_partkey", d.alias("distance")), 5, "distance")
 
 
-_WRAP = """wrapped as (select l_orderkey, {cols} from o{joins})"""
-
-
 def _wrapped_sql() -> str:
     parts = []
     for c in PAIR:
