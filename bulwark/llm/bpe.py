@@ -31,7 +31,9 @@ last byte arrives; ill-formed bytes become U+FFFD by maximal subparts.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import threading
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -39,7 +41,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from bulwark.llm.common import slices, small_batches
+from bulwark.llm.common import give_back, slices, small_batches
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -100,7 +102,7 @@ class Transducer:
     def _compatible(self, left: int, right: int) -> bool:
         known = self._pair.get((left, right))
         if known is None:
-            if len(self._pair) > 4 * self.max_states:
+            if len(self._pair) > 2 * self.max_states:
                 self._pair.clear()
             known = self._pair[left, right] = self.merge(self.token[left] + self.token[right]) == [left, right]
         return known
@@ -269,10 +271,15 @@ def decode_bytes(tokens: Sequence[bytes], ids: Iterable[int]) -> bytes:
 
 
 _WORKER: dict[int, ByteBPE] = {}
+_TIMER: list[threading.Timer] = []
+#: Seconds for which an idle Python worker keeps its codec; tasks of one stage follow each other faster.
+IDLE_SECONDS = 4.0
 
 
 def worker_codec(ranks_file: bytes, pattern: str) -> ByteBPE:
     """One codec per Python worker and vocabulary, kept between tasks."""
+    while _TIMER:
+        _TIMER.pop().cancel()
     key = hash((ranks_file, pattern))
     if key not in _WORKER:
         _WORKER.clear()
@@ -280,6 +287,20 @@ def worker_codec(ranks_file: bytes, pattern: str) -> ByteBPE:
     return _WORKER[key]
 
 
+def _drop() -> None:
+    _WORKER.clear()
+    gc.collect()
+    give_back()
+
+
+def drop_when_idle() -> None:
+    """Called at the end of a task: without a next one, the worker's tables go."""
+    timer = threading.Timer(IDLE_SECONDS, _drop)
+    timer.daemon = True
+    _TIMER.append(timer)
+    timer.start()
+
+
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str = "text", tokens: bool = True) -> DataFrame:
     """Encode ``text`` of every row, then decode the ids again.
 
@@ -320,5 +341,6 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str
             if tokens:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *dict(added)])
+        drop_when_idle()
 
     return source.mapInArrow(run, schema)

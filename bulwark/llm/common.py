@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from bulwark.plans.ship import ship
 
 #: Bytes of text that a Python worker handles at once; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Ranks of labelled rows are drawn by this hash seed.
 SAMPLE_SEED = 20_011
 
@@ -46,6 +47,14 @@ def small_batches(spark: SparkSession, most: int = 1024) -> None:
         spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers live on next to the executor's other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of the column ``text`` (or one row)."""
     for batch in batches:
@@ -58,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    give_back()
 
 
 def held_out(doc_id: str = "doc_id"):
