@@ -1,19 +1,23 @@
-"""Main text of web pages: structure first, then a host-wide suffix array.
+"""Main text of web pages: structure, and runs of tokens that repeat over a host.
 
 A page is cut into blocks, each with a region: *main* (inside article or main),
 *plate* (menus, forms, adverts and the like, known by tag, role, class or id;
-dropped at once) or *open* (neither).  A page with main blocks is those blocks.
-
-For the other pages the token streams of the open blocks are concatenated by
-host, and all suffixes are put in the order of their first ``RUN`` tokens: a
-suffix array that is sorted as deep as it is needed, dealt over the cluster by
-that prefix.  Suffixes with one prefix on distinct pages mark a repeated
-substring of ``RUN`` tokens or more; all tokens such substrings cover are
-boilerplate, and the unique runs stay.
-
-Repetition alone cannot tell an article that two pages carry from a menu, nor a
-menu that differs on each page from an article; so structure decides where it
-speaks, and the suffix array decides the rest.
+dropped at once) or *open* (neither).  A page with main blocks is those blocks
+without what its host repeats.
+
+All runs of ``RUN`` tokens of a host are compared by a hash of host and run,
+grouped over the cluster (no suffixes are sorted).  Structure says how much
+repetition it takes:
+
+* main blocks: a run is boilerplate that stands on more than half of the host's
+  rows with main blocks, in ``LEAST`` distinct texts or more (a notice on all
+  articles goes, an article on two pages stays; a page whose whole text is
+  shared keeps it);
+* open blocks, which make the text of pages without main blocks: a run is
+  boilerplate that two distinct pages of the host have in open blocks (those of
+  pages with main blocks included), or that is boilerplate of main blocks.
+
+All tokens that such runs cover go; the unique runs stay.
 """
 
 from __future__ import annotations
@@ -21,15 +25,22 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bulwark.llm.common import materialise, slices, small_batches
+from bulwark.llm.textkernel import Words, mix, text_buffer
 
 #: Tokens of the shortest repeated substring that counts as boilerplate.
 RUN = 8
+#: Distinct texts that a run of main blocks must stand in to count as boilerplate.
+LEAST = 3
+#: Runs that a part of ``host_plates`` holds, and bits by which parts name runs; both change cost only.
+PART, BITS = 2_000_000, 1 << 26
 
 # Element names of HTML by how they act here.
 _RAW = "script|style|template|noscript|svg|iframe|textarea|select|math|object|canvas|audio|video|title"
@@ -139,47 +150,166 @@ def unique_runs(tokens: list[list[str]], covered: set[int]) -> str:
     return "\n".join(out)
 
 
+def window_keys(texts: list[str], hosts: np.ndarray, run_length: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row, at) of all runs of ``run_length`` tokens: a hash of host and run, the text's number and the first token's number in it."""
+    buf, offsets = text_buffer(pa.array(texts, pa.string()))
+    words = Words(buf, offsets)
+    h, first = words.hashes(buf), words.first
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(h)) - first[row]
+    whole = at + run_length <= n[row]
+    start, row, at = np.flatnonzero(whole), row[whole], at[whole]
+    keys = np.zeros(len(start), np.uint64)
+    for k in range(run_length):
+        keys = mix(keys + h[start + k])
+    return mix(keys ^ mix(hosts[row].astype(np.int64).view(np.uint64))), row, at
+
+
+def _once(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key of a row once."""
+    order = np.lexsort((row, keys))
+    keys, row = keys[order], row[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    return keys[new], row[new]
+
+
+def host_plates(rows: DataFrame, run_length: int = RUN) -> np.ndarray:
+    """Sorted keys of the runs that stand in the main blocks of more than half of a host's rows with main blocks, on ``LEAST`` distinct texts or more.
+
+    A run on more than half of all rows is on more than half in one part at
+    least, however they are parted; so each part names what passes in it, and
+    only runs named (by a bit of their key) are counted over all rows.
+    """
+    source = rows.select("hosted", "html")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        pages: list[np.ndarray] = []
+        held = 0
+
+        def part() -> pa.RecordBatch:
+            hosts, pages_of = np.unique(np.concatenate(pages), return_counts=True)
+            keys, host = np.concatenate([k for k, _ in kept]), np.concatenate([h for _, h in kept])
+            order = np.argsort(keys, kind="stable")
+            keys, host = keys[order], host[order]
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            count = np.diff(np.append(begin, len(keys)))
+            passes = 2 * count > pages_of[np.searchsorted(hosts, host[begin])]
+            out = np.concatenate([keys[begin][passes].view(np.int64), np.zeros(len(hosts), np.int64)])
+            whose = np.concatenate([host[begin][passes], hosts])
+            size = np.concatenate([np.zeros(int(passes.sum()), np.int64), pages_of])
+            return pa.RecordBatch.from_arrays([pa.array(whose), pa.array(out), pa.array(size)], names=["hosted", "key", "pages"])
+
+        for batch in slices(batches, "html"):
+            texts, hosts = _main_texts(batch)
+            keys, row = _once(*window_keys(texts, hosts, run_length)[:2])
+            kept.append((keys, hosts[row]))
+            pages.append(hosts)
+            held += len(keys)
+            if held >= PART:
+                yield part()
+                kept, pages, held = [], [], 0
+        if pages:
+            yield part()
+
+    found = materialise(source.mapInArrow(named, "hosted long, key long, pages long"))
+    hosts = materialise(found.groupBy("hosted").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST))
+    bits = found.where("pages = 0").join(hosts.select("hosted"), "hosted", "left_semi").select(F.pmod("key", F.lit(BITS)).alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    if not len(bits):
+        return np.zeros(0, np.uint64)
+    flags = np.zeros(BITS, bool)
+    flags[bits] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = shared.value
+        for batch in slices(batches, "html"):
+            texts, hosts = _main_texts(batch)
+            keys, row, _ = window_keys(texts, hosts, run_length)
+            bit = keys.view(np.int64) % BITS
+            hit = (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+            keys, row = _once(keys[hit], row[hit])
+            text = np.array([int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts[row], pa.int64()), pa.array(keys.view(np.int64)), pa.array(text[row], pa.int64())], names=["hosted", "key", "content"])
+
+    each = source.mapInArrow(counted, "hosted long, key long, content long").groupBy("hosted", "key", "content").agg(F.count("*").alias("n"))
+    total = each.groupBy("hosted", "key").agg(F.sum("n").alias("n"), F.count("*").alias("contents")).where(F.col("contents") >= LEAST)
+    keys = total.join(hosts, "hosted").where(2 * F.col("n") > F.col("pages")).select("key").toArrow()["key"].to_numpy()
+    return np.sort(keys.astype(np.int64).view(np.uint64))
+
+
+def _main_texts(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """(main blocks joined, host hash) of the rows with main blocks."""
+    texts = ["\n".join(blocks_of(page or "")[0]) for page in batch.column("html").to_pylist()]
+    some = np.array([bool(t) for t in texts], bool)
+    return [t for t in texts if t], batch.column("hosted").to_numpy(zero_copy_only=False)[some]
+
+
+def _plate_starts(texts: list[str], hosts: np.ndarray, plates: np.ndarray, run_length: int) -> dict[int, list[int]]:
+    """By text number, the tokens at which runs of ``plates`` start."""
+    out: dict[int, list[int]] = {}
+    if len(plates):
+        keys, row, at = window_keys(texts, hosts, run_length)
+        k = np.minimum(np.searchsorted(plates, keys), len(plates) - 1)
+        for i in np.flatnonzero(plates[k] == keys):
+            out.setdefault(int(row[i]), []).append(int(at[i]))
+    return out
+
+
 def main_text(pages: DataFrame, run_length: int = RUN) -> DataFrame:
     """(page_id, url, text), one row per row of ``pages(page_id, url, html)``.
 
     Null html gives the empty text.  Rows that repeat a page count as one page
-    for the suffix array; a null url is a host of its own.  Other columns are
+    among open blocks; a null url is a host of its own.  Other columns are
     ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
-    framed = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)\b|role\s*=\s*[\"']?main\b"), F.lit(False))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#:]*)", 1)), F.lit(""))
+    rows = pages.select("page_id", "url", F.xxhash64(host).alias("hosted"), F.col("html").cast("string").alias("html"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in ("page_id", "url"))
+    shared = pages.sparkSession.sparkContext.broadcast(host_plates(rows, run_length))
 
-    def structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
+            mains = [blocks_of(page or "")[0] for page in batch.column("html").to_pylist()]
+            some = pa.array([bool(m) for m in mains], pa.bool_())
+            batch, mains = batch.filter(some), [m for m in mains if m]
+            starts = _plate_starts(["\n".join(m) for m in mains], batch.column("hosted").to_numpy(zero_copy_only=False), shared.value, run_length)
             texts = []
-            for page in batch.column("html").to_pylist():
-                main, rest = blocks_of(page or "")
-                texts.append("\n".join(main or rest))  # the frame may be empty, or only named in a comment
+            for i, main in enumerate(mains):
+                left = unique_runs([b.split(" ") for b in main], {j + k for j in starts[i] for k in range(run_length)}) if i in starts else ""
+                texts.append(left or "\n".join(main))  # a page is never emptied by what it shares
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            lists = [[b.split(" ") for b in blocks_of(page or "")[1]] for page in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lists, pa.list_(pa.list_(pa.string())))], names=["page_id", "url", "host", "page", "blocks"])
+            both = [blocks_of(page or "") for page in batch.column("html").to_pylist()]
+            kept = pa.array([bool(rest) or not main for main, rest in both], pa.bool_())
+            batch, both = batch.filter(kept), [b for b in both if b[1] or not b[0]]
+            lists = [[b.split(" ") for b in rest] for _, rest in both]
+            arrays = [*(batch.column(c) for c in ("page_id", "url", "hosted", "page")), pa.array([bool(m) for m, _ in both], pa.bool_()), pa.array(lists, pa.list_(pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "hosted", "page", "framed", "blocks"])
 
-    found = rows.where(framed).mapInArrow(structured, f"{head}, text string")
+    found = rows.mapInArrow(framed, f"{head}, text string")
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#:]*)", 1)), F.lit(""))
-    bare = rows.where(~framed).select("page_id", "url", host.alias("host"), F.xxhash64("url", "html").alias("page"), "html")
-    loose = materialise(bare.mapInArrow(opened, f"{head}, host string, page long, blocks array<array<string>>"))
-    tokens = loose.select("host", "page", F.flatten("blocks").alias("t")).where(F.size("t") >= run_length).dropDuplicates(["host", "page"])
-    suffixes = tokens.select("host", "page", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t") - run_length), lambda i: F.xxhash64(F.slice("t", i + 1, run_length)))).alias("i", "prefix"))
-    repeated = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("host", "prefix")
-    marks = suffixes.join(materialise(repeated), ["host", "prefix"]).groupBy("host", "page").agg(F.collect_set("i").alias("starts"))
-    joined = loose.join(marks, ["host", "page"], "left").select("page_id", "url", "blocks", "starts")
+    # open blocks of framed pages tell what repeats, too, but only pages without main blocks are made of open ones
+    hashed = rows.select("page_id", "url", "hosted", F.xxhash64("url", "html").alias("page"), "html")
+    loose = materialise(hashed.mapInArrow(opened, f"{head}, hosted long, page long, framed boolean, blocks array<array<string>>"))
+    tokens = loose.select("hosted", "page", F.flatten("blocks").alias("t")).where(F.size("t") >= run_length).dropDuplicates(["hosted", "page"])
+    suffixes = tokens.select("hosted", "page", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("t") - run_length), lambda i: F.xxhash64(F.slice("t", i + 1, run_length)))).alias("i", "prefix"))
+    repeated = suffixes.groupBy("hosted", "prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("hosted", "prefix")
+    marks = suffixes.join(materialise(repeated), ["hosted", "prefix"]).groupBy("hosted", "page").agg(F.collect_set("i").alias("starts"))
+    joined = loose.where("not framed").join(marks, ["hosted", "page"], "left").select("page_id", "url", "hosted", "blocks", "starts")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("blocks").to_pylist()
+            plates = _plate_starts(["\n".join(" ".join(b) for b in blocks or []) for blocks in lists], batch.column("hosted").to_numpy(zero_copy_only=False), shared.value, run_length)
             texts = []
-            for blocks, starts in zip(batch.column("blocks").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                texts.append(unique_runs(blocks or [], {i + k for i in starts or [] for k in range(run_length)}))
+            for n, (blocks, starts) in enumerate(zip(lists, batch.column("starts").to_pylist(), strict=True)):
+                texts.append(unique_runs(blocks or [], {i + k for i in [*(starts or []), *plates.get(n, [])] for k in range(run_length)}))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return found.unionByName(joined.mapInArrow(kept, f"{head}, text string"))

@@ -41,3 +41,18 @@ def test_repeats_on_one_page_stay(spark):
     t = "one two three four five six seven eight nine"
     df = spark.createDataFrame([(1, "http://h/1", f"<p>{t}</p><p>{t}</p>")] * 2, "page_id long, url string, html string")
     assert {r["text"] for r in main_text(df).collect()} == {f"{t}\n{t}"}
+
+
+def test_runs_on_most_articles_of_a_host_go(spark):
+    notice = "all prices are given without any warranty by the owner of this shop"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{body(i)}</p><p>{notice}</p></article>") for i in range(6)]
+    rows += [(6, "http://h.example/6", f"<article><p>{body(0)}</p></article>"), (7, "http://h.example/7", f"<div>{body(7)}</div><div>{notice}</div>")]
+    rows += [(8 + i, f"http://two.example/{i}", f"<main><p>{body(50)}</p><p>{notice}</p></main>") for i in range(4)]
+    plate = "accept our terms and read about us before you go on with this site"
+    rows += [(20 + i, f"http://c.example/{i}", f"<!-- <article> --><div>{plate}</div><div>{body(20 + i)}</div>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == body(i) for i in (*range(6), 7)) and got[6] == body(0)  # the notice goes, an article on two pages stays
+    assert all(got[8 + i] == f"{body(50)}\n{notice}" for i in range(4))  # one text on all pages is no boilerplate
+    assert all(got[20 + i] == body(20 + i) for i in range(3))  # <article> in a comment is no frame
