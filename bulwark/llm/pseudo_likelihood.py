@@ -1,25 +1,29 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
-Every word is a token of a hashed vocabulary of ``VOCABULARY`` entries.  Tokens
-fall into ``CLASSES`` classes, and
+Every word is a token of its own, known by its full 64-bit hash; an aggregate
+over the cluster counts them all.  Tokens fall into ``CLASSES`` classes by
+frequency: the most frequent have one each, the next up to ``FREQUENT`` share
+classes of about equal mass, and all rarer ones are the last class.
 
     P(token | both sides) = P(class | both sides) * count(token) / count(class).
 
 The first factor is a small network: embeddings of the two words on either side,
-one tanh layer, a softmax.  The second comes from counts.  A document's score is
-the sum of the conditional log-probabilities of all its words, each with the
-word itself masked and everything else given.
+one tanh layer, a softmax; frequent words have inputs of their own, others that
+of their class.  The second comes from counts over all documents; those of rare
+words stay on the cluster and are joined back to the texts that have them.  A
+document's score is the sum of the conditional log-probabilities of all its
+words, each with the word itself masked and everything else given.
 
 Training goes over every word of every document.  Each partition starts from
 the same seeded weights and takes one pass of adaptive gradient steps over its
 own words; the weights are then averaged, each partition weighing as its number
-of words (parameter mixing).  Token counts come out of the same pass.  What
-reaches the driver is one number per weight and per vocabulary entry.
+of words (parameter mixing).  What reaches the driver is one number per weight,
+and the ``FREQUENT`` most frequent words with their counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,34 +31,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import slices, small_batches
+from bulwark.llm.common import materialise, slices, small_batches
+from bulwark.llm.kneser_ney import Lookup
 from bulwark.llm.textkernel import Words, lower_ascii, text_buffer
 
-VOCABULARY = 1 << 18
-CLASSES = 64
+#: Words whose counts go to every task; the counts of all others are joined.
+FREQUENT = 1 << 16
+#: Classes of words, and how many of them are one word each.
+CLASSES, SINGLE = 64, 40
 INPUTS, WIDTH, HIDDEN, SIDES = 1024, 8, 24, 4
 BATCH, RATE, SEED = 2048, 0.08, 5
 _OFFSETS = (-2, -1, 1, 2)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(token ids of all words, first): words first[i]:first[i + 1] are row i's."""
+    """(64-bit hashes of all words, first): words first[i]:first[i + 1] are row i's."""
     buf, offsets = text_buffer(column)
     low = lower_ascii(buf)
     words = Words(low, offsets)
-    return (words.hashes(low) % np.uint64(VOCABULARY)).astype(np.int64), words.first
-
-
-def class_of(token: np.ndarray) -> np.ndarray:
-    return token % CLASSES
+    return words.hashes(low), words.first
+
+
+class Vocabulary:
+    """The most frequent words in falling order of their counts; all others have rank -1."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, rare: int = 0, rare_types: int = 0):
+        """rare, rare_types: occurrences and number of the words that are not among ``keys``."""
+        rank = np.arange(len(keys))
+        rest = counts[SINGLE:]
+        before = (np.cumsum(rest) - rest) / max(rest.sum(), 1)
+        # entry -1 (the last) stands for all rare words
+        self.classes = np.concatenate([rank[:SINGLE], SINGLE + (before * (CLASSES - 1 - SINGLE)).astype(np.int64), [CLASSES - 1]])
+        own = INPUTS - 1 - CLASSES
+        self.inputs = np.concatenate([np.where(rank < own, 1 + rank, INPUTS - CLASSES + self.classes[:-1]), [INPUTS - 1]])
+        self.totals = np.bincount(self.classes[:-1], weights=counts, minlength=CLASSES)
+        self.totals[-1] += rare
+        types = np.bincount(self.classes[:-1], minlength=CLASSES)
+        types[-1] += rare_types + 1  # and what was never seen
+        #: log count(token) / count(class), each count plus one; for rare words only the class's part.
+        self.inside = np.log(np.concatenate([counts + 1.0, [1.0]]) / (self.totals + types)[self.classes])
+        self.lookup = Lookup(keys)
+
+    def ranks(self, token: np.ndarray) -> np.ndarray:
+        return self.lookup.rows(token)
+
+
+def contexts(token: np.ndarray, first: np.ndarray, vocabulary: Vocabulary | None = None) -> np.ndarray:
+    """Input ids of the words around each word; 0 stands for no word (beyond the text)."""
+    vocabulary = vocabulary or Vocabulary(np.zeros(0, np.uint64), np.zeros(0))
+    return around(vocabulary.inputs[vocabulary.ranks(token)], first)
 
 
-def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Input ids of the words around each word; 0 stands for no word (beyond the text)."""
-    n = len(token)
+def around(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    n = len(ids)
     out = np.zeros((n, SIDES), dtype=np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    ids = 1 + (token // CLASSES * 31 + token) % (INPUTS - 1)
     for k, d in enumerate(_OFFSETS):
         if abs(d) < n:
             a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
@@ -107,31 +138,46 @@ class Network:
 
 @dataclass(frozen=True)
 class Model:
-    """flat: network weights; counts: how often each token occurs in the corpus."""
+    """flat: network weights; counts: how often each class occurs in the corpus; words (h, n): how often each word does."""
 
     flat: np.ndarray
-    counts: np.ndarray
+    vocabulary: Vocabulary
+    words: DataFrame
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.vocabulary.totals
+
 
-    def within_class(self) -> np.ndarray:
-        """log count(token) / count(class), each count plus one."""
-        counts = self.counts + 1.0
-        total = np.bincount(class_of(np.arange(VOCABULARY)), weights=counts, minlength=CLASSES)
-        return np.log(counts / total[class_of(np.arange(VOCABULARY))])
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, n): hash and count of every distinct word of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            h, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """One pass over all words of all rows; an empty table gives the seeded weights and no counts."""
+    """One count and one pass over all words of all rows; an empty table gives the seeded weights and no counts."""
     small_batches(docs.sparkSession)
+    words = materialise(count_words(docs, text))
+    total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    keys, n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    vocabulary = Vocabulary(keys, n, int(total) - int(n.sum()), int(types) - len(keys))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memory = Network(), np.full(Network.SIZE, 1e-8, np.float32)
-        counts, seen = np.zeros(VOCABULARY, np.int64), 0
+        known, net, memory, seen = shared.value, Network(), np.full(Network.SIZE, 1e-8, np.float32), 0
         for batch in slices(batches, "text"):
             token, first = tokens(batch.column("text"))
             if not len(token):
                 continue
-            counts += np.bincount(token, minlength=VOCABULARY)
-            ctx, target = contexts(token, first), class_of(token)
+            rank = known.ranks(token)
+            ctx, target = around(known.inputs[rank], first), known.classes[rank]
             seen += len(token)
             # neighbours in a text say nearly the same: a step takes words from all over the slice
             order = np.random.default_rng(len(token)).permutation(len(token))
@@ -139,40 +185,49 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 pick = order[k : k + BATCH]
                 net.step(ctx[pick], target[pick], memory)
         if seen:
-            at = np.flatnonzero(counts)
-            index = np.concatenate([np.arange(Network.SIZE), Network.SIZE + at, [-1]])
-            value = np.concatenate([net.flat.astype(float) * seen, counts[at].astype(float), [float(seen)]])
+            index = np.concatenate([np.arange(Network.SIZE), [-1]])
+            value = np.concatenate([net.flat.astype(float) * seen, [float(seen)]])
             yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(value)], names=["i", "v"])
 
     sums = docs.select(F.col(text).alias("text")).mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     index, value = sums["i"].to_numpy(), sums["v"].to_numpy()
-    counts, flat = np.zeros(VOCABULARY), Network().flat
+    flat = Network().flat
     if len(index):
-        total = float(value[index == -1][0])
-        counts[index[index >= Network.SIZE] - Network.SIZE] = value[index >= Network.SIZE]
-        weights = (index >= 0) & (index < Network.SIZE)
+        weights = index >= 0
         flat = np.zeros(Network.SIZE)
-        flat[index[weights]] = value[weights] / total
-    return Model(flat.astype(np.float32), counts)
+        flat[index[weights]] = value[weights] / float(value[index == -1][0])
+    return Model(flat.astype(np.float32), vocabulary, words)
+
 
+def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds n_words and log_likelihood (natural; 0 for a text without words) to every row; such columns are replaced.
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds n_words and log_likelihood (natural; 0 for a text without words) to every row; such columns are replaced."""
+    ``keep`` names the columns to return (all by default).
+    """
     small_batches(docs.sparkSession)
     source = docs.drop("n_words", "log_likelihood")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema] + ["n_words long", "log_likelihood double"])
+    names = list(source.columns if keep is None else keep)
+    shared = docs.sparkSession.sparkContext.broadcast((model.flat, model.vocabulary))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*names).schema] + ["n_words long", "_sum double", "_rare array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, inside = Network(shared.value.flat), shared.value.within_class()
+        flat, known = shared.value
+        net = Network(flat)
         for batch in slices(batches, text):
             token, first = tokens(batch.column(text))
-            ctx, target = contexts(token, first), class_of(token)
-            each = inside[token]
+            rank = known.ranks(token)
+            ctx, target = around(known.inputs[rank], first), known.classes[rank]
+            each = known.inside[rank]
             for k in range(0, len(token), 4 * BATCH):
                 s = slice(k, k + 4 * BATCH)
                 each[s] += net.log_probability(ctx[s], target[s])
             run_sum = np.concatenate([[0.0], np.cumsum(each)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(first)), pa.array(run_sum[first[1:]] - run_sum[first[:-1]])], names=[*batch.schema.names, "n_words", "log_likelihood"])
-
-    return source.mapInArrow(run, schema)
+            rare_before = np.concatenate([[0], np.cumsum(rank < 0)])
+            rare = pa.ListArray.from_arrays(pa.array(rare_before[first], pa.int32()), pa.array(token[rank < 0].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.diff(first)), pa.array(run_sum[first[1:]] - run_sum[first[:-1]]), rare], names=[*names, "n_words", "_sum", "_rare"])
+
+    # kept on disk, as the numbers of rows must not change between the two sides of the join
+    rows = materialise(source.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    rare = rows.select("_row", F.explode("_rare").alias("h")).join(model.words, "h", "left")
+    found = rare.groupBy("_row").agg(F.sum(F.log1p(F.coalesce("n", F.lit(0)))).alias("_found"))
+    return rows.join(found, "_row", "left").select(*names, "n_words", (F.col("_sum") + F.coalesce("_found", F.lit(0.0))).alias("log_likelihood"))

@@ -124,3 +124,22 @@ def test_order_matters_to_the_score(spark, documents):
     rows = {r["doc_id"]: r for r in L.score(documents([None, "", "cat"]), model).collect()}
     assert rows[0]["n_words"] == rows[1]["n_words"] == 0 and rows[0]["log_likelihood"] == 0 and rows[2]["log_likelihood"] < 0
     assert L.train(documents(texts).limit(0)).counts.sum() == 0
+
+
+@pytest.mark.parametrize("frequent", [4, 1 << 16])
+def test_every_word_has_its_own_count(spark, documents, monkeypatch, frequent):
+    monkeypatch.setattr(L, "FREQUENT", frequent, raising=False)
+    words = [f"w{i}" for i in range(3000)]
+    low = L.tokens(pa.array(words, pa.string()))[0] % (1 << 18)
+    values, at, times = np.unique(low, return_index=True, return_counts=True)
+    value = values[times > 1][0]
+    a, b = (words[i] for i in np.flatnonzero(low == value)[:2])  # one bucket of 2^18, two words
+    docs = documents(["the of and to in " * 40, f"{a} " * 30, b])
+    model = L.train(docs)
+    assert model.counts.sum() == 231
+    counted = {r["h"]: r["n"] for r in model.words.collect()}
+    assert sorted(counted.values()) == [1, 30, 40, 40, 40, 40, 40]
+    one = {r["doc_id"]: r["log_likelihood"] for r in L.score(documents([a, b, "never"]), model).collect()}
+    assert one[0] != one[1]
+    if frequent == 4:  # both in the class of rare words, whose counts are joined
+        assert one[0] - one[1] == pytest.approx(np.log(31 / 2)) and one[1] - one[2] == pytest.approx(np.log(2))
