@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bulwark.plans.ship import ship
+
 #: Up to so many rows, order statistics come from the sorted values.
 SMALL_ROWS = 20_000
 #: Up to so many rows they are exact by a bracket; beyond, their rank is off by at most a 1e-5 part of the rows.
@@ -111,6 +115,52 @@ def weighted_gram(df: DataFrame, x: Sequence[Column], y: Column, weights: Sequen
 
 
 def hashed_sample(df: DataFrame, columns: Sequence[str], most: int, seed: int = 0) -> np.ndarray:
-    """At most ``most`` rows in the order of a hash of their values: the same rows whatever the partitioning."""
-    picked = df.select(*columns).orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(most)
-    return picked.toPandas().to_numpy(dtype=float)
+    """At most ``most`` rows, each row with the same chance, equal rows too: the same rows whatever the partitioning.
+
+    Equal rows are counted first.  Every row stands for a uniform number, and the
+    ``most`` smallest are taken; the smallest of ``c`` equal rows are drawn in
+    rising order from a seed made of their values, so a large group costs no
+    more than its rows in the sample.
+    """
+    columns = list(columns)
+    equal = df.groupBy(*columns).agg(F.count("*").alias("_n")).persist()
+    try:
+        n = int(equal.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        if n <= most:
+            return df.select(*columns).orderBy(F.xxhash64(F.lit(seed), *columns), *columns).toPandas().to_numpy(dtype=float)
+        # above the most-th smallest of n uniform numbers but for a chance below 1e-15; then the next round takes all of them
+        for limit in (min(1.0, (most + 10 * math.sqrt(most) + 50) / n), 1.0):
+
+            def run(batches: Iterator[pa.RecordBatch], limit: float = limit) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    which, at = _smallest(batch.column("_h").to_numpy(), batch.column("_n").to_numpy(), limit, most)
+                    kept = batch.take(pa.array(which))
+                    yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in columns), pa.array(at)], names=[*columns, "_u"])
+
+            ship(df.sparkSession)
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+            drawn = equal.select(*columns, "_n", F.xxhash64(F.lit(seed), *columns).alias("_h")).mapInArrow(run, schema + ", _u double")
+            got = drawn.orderBy("_u", *columns).limit(most).toPandas()
+            if len(got) == most:
+                break
+        return got[columns].to_numpy(dtype=float)
+    finally:
+        equal.unpersist()
+
+
+def _smallest(seeds: np.ndarray, counts: np.ndarray, limit: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, number): for each group of ``counts`` uniform numbers, its smallest ones up to ``limit``, ``most`` of them at most."""
+    first = (seeds.view(np.uint64) >> np.uint64(11)).astype(float) / 2**53
+    first = -np.expm1(np.log1p(-first) / counts)
+    group, number = [], []
+    for g in np.flatnonzero(first <= limit):
+        rng, at, k = np.random.default_rng(int(seeds[g]) & (2**64 - 1)), float(first[g]), 1
+        while at <= limit:
+            group.append(g)
+            number.append(at)
+            if k == min(counts[g], most):
+                break
+            # the next of the numbers left, uniform above this one
+            at += (1 - at) * -math.expm1(math.log1p(-rng.random()) / (int(counts[g]) - k))
+            k += 1
+    return np.array(group, dtype=np.int64), np.array(number, dtype=float)

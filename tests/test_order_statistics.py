@@ -25,3 +25,15 @@ def test_moments_of_subsets(spark):
     assert n == 500 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x, rowvar=False))
     keep = x[x[:, 0] > 1e6]
     assert m == len(keep) and np.allclose(part, np.cov(keep, rowvar=False))
+
+
+def test_sample_takes_rows_not_values(spark):
+    hot = spark.range(0, 6000).select(F.lit(1.0).alias("a"), F.lit(-1.0).alias("b"))
+    rest = spark.range(0, 12000).select((F.col("id") % 4000 + 2).cast("double").alias("a"), F.lit(0.0).alias("b"))
+    df = hot.unionByName(rest)
+    shares = [(moments.hashed_sample(df, ["a", "b"], 1500, seed)[:, 0] == 1).mean() for seed in range(3)]
+    assert all(0.27 < s < 0.4 for s in shares)
+    x = moments.hashed_sample(df, ["a", "b"], 1500)
+    assert x.shape == (1500, 2) and np.array_equal(x, moments.hashed_sample(df.repartition(7), ["a", "b"], 1500))
+    assert len(np.unique(x[x[:, 0] > 1][:, 0])) > 700  # of 4000 values with 3 rows each
+    assert len(moments.hashed_sample(df, ["a", "b"], 20_000)) == 18_000 and len(moments.hashed_sample(df.limit(0), ["a", "b"], 5)) == 0
