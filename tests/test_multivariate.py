@@ -127,3 +127,11 @@ def test_stahel_donoho_marks_outliers(spark):
     df, bad = planted(spark, n=200, share=0.1)
     s = pca.stahel_donoho(df, COLS, keep=["id"]).orderBy("id").toPandas()
     assert s["outlyingness"][bad].min() > s["outlyingness"][~bad].median() * 2
+
+
+def test_stahel_donoho_takes_all_rows(spark):
+    df = spark.range(0, 30_001).select("id", (F.col("id") * F.col("id") % 30_011).cast("double").alias("a"), F.log1p(F.col("id")).alias("b"))
+    s = pca.stahel_donoho(df, ["a", "b"], axes=np.eye(2), keep=["id"]).toPandas()
+    x = s[["a", "b"]].to_numpy()
+    d = np.abs(x - np.median(x, axis=0))
+    np.testing.assert_allclose(s["outlyingness"], (d / np.median(d, axis=0)).max(axis=1), rtol=1e-9)
