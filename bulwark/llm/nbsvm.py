@@ -203,102 +203,6 @@ def train(docs: DataFrame, sample: DataFrame, text: str = "text") -> Model:
     return model
 
 
-def score(self, buckets: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(buckets) + self.shift, -30, 30))))
-
-
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss machine; rows are (positions, values), y is +1 or -1."""
-    w, bias = np.zeros(BUCKETS), 0.0
-    alpha = np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1.0 for _, v in rows])
-    rng = np.random.default_rng(SEED)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(rows)):
-            at, v = rows[i]
-            slope = y[i] * (float(w[at] @ v) + bias) - 1
-            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
-            if step := (new - alpha[i]) * y[i]:
-                w[at] += step * v
-                bias += step
-                alpha[i] = new
-                moved = max(moved, abs(step))
-        if moved < 1e-4:
-            break
-    return w, bias
-
-
-def logistic(margins: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift by Newton's method on slightly smoothed targets."""
-    pos, neg = float((y > 0).sum()), float((y < 0).sum())
-    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g, s = p - target, np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(s * margins * margins).sum() + 1e-3, (s * margins).sum()], [(s * margins).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(g * margins).sum() + 1e-3 * a, g.sum()])
-        a, b = a - float(np.clip(step[0], -5, 5)), b - float(np.clip(step[1], -5, 5))
-        if abs(step).max() < 1e-8:
-            break
-    return a, b
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """rows: sorted bucket numbers; labels: 0 or 1.  One class only (or none) gives the share of that class."""
-    y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
-    if len(set(y.tolist())) < 2:
-        share = 0.5 if len(y) == 0 else (len(y) * (y[0] > 0) + 1) / (len(y) + 2)
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    hold = np.arange(len(y)) % HOLD == HOLD - 1 if min((y > 0).sum(), (y < 0).sum()) >= 2 * HOLD else np.zeros(len(y), bool)
-    use = np.flatnonzero(~hold)
-    counts = {c: np.ones(BUCKETS) for c in (1.0, -1.0)}
-    for i in use:
-        counts[y[i]][rows[i]] += 1
-    ratios = np.log((counts[1.0] / counts[1.0].sum()) / (counts[-1.0] / counts[-1.0].sum()))
-
-    # one block of values for all texts; the rows below are views of it
-    ends = np.cumsum([len(rows[i]) for i in use])
-    values = np.empty(ends[-1] if len(ends) else 0, dtype=np.float32)
-    parts = []
-    for i, end in zip(use, ends, strict=True):
-        v = values[end - len(rows[i]) : end]
-        v[:] = ratios[rows[i]]
-        n = np.sqrt(v @ v)
-        if n > 0:
-            v /= n
-        parts.append((rows[i], v))
-
-    n_pos, n_neg = (y[use] > 0).sum(), (y[use] < 0).sum()
-    cost = np.where(y[use] > 0, COST * len(use) / (2 * n_pos), COST * len(use) / (2 * n_neg))
-    w, bias = dual_coordinate_descent(parts, y[use], cost)
-    plain = Model(w * ratios, ratios, bias, 1.0, 0.0)
-    at = np.flatnonzero(hold) if hold.any() else use
-    slope, shift = logistic(np.array([plain.margin(rows[i]) for i in at]), y[at])
-    return Model(plain.weights, ratios, bias, slope, shift)
-
-
-def train(docs: DataFrame, sample: DataFrame, text: str = "text") -> Model:
-    """Fit on the texts of ``sample(doc_id, label, rank)``, which is bounded by its maker.
-
-    Executors turn whole texts into bucket numbers (at most BUCKETS a text); the
-    driver gets those.  Repeated rows of one doc_id count once.
-    """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            lists = pa.array([x.astype(np.int32) for x in features(batch.column("text"))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "rank")), lists], names=["doc_id", "label", "rank", "buckets"])
-
-    found = texts.select("doc_id", "label", "rank", "text").mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, rank long, buckets array<int>").toArrow()
-    by_id = {(r, str(i)): (b, y) for i, y, r, b in zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["rank"].to_pylist(), found["buckets"].to_numpy(), strict=True)}
-    ordered = [by_id[k] for k in sorted(by_id)]
-    return fit([np.asarray(b, dtype=np.int64) for b, _ in ordered], np.array([y for _, y in ordered]))
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Adds ``into`` (0 to 1) to every row; a column of that name is replaced.  Null texts are empty ones."""
     small_batches(docs.sparkSession)
