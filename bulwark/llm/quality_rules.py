@@ -1,22 +1,26 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
-Every rule looks at a few counts of a text and votes good (1), bad (-1) or
-abstains (0).  A latent class (good or bad) explains the votes; the rules are
-independent given the class, and expectation-maximisation estimates for each
-rule how often it votes what in either class, i.e. its two accuracies.  Rules
-are written so that they seldom accuse a good text, and the estimate is held to
-that: at most ``FALSE_ALARMS`` of the good texts (without the bound, kinds of
-bad text that one rule alone sees would drift into the good class).  A text is
-kept when its posterior probability of being good reaches the threshold.
+Every rule looks at a few counts of a text and votes good (2), bad (0) or
+abstains (1).  Each rule watches for one kind of fault.  A latent class explains
+the votes of a document: it is good, or it has one of the ``KINDS`` of faults.
+Rules are independent given the class, and expectation-maximisation estimates
+for every rule how often it votes what in every class, i.e. its accuracies.  As
+each kind of fault is a class of its own, rules of one kind may agree as often
+as they like without being taken for independent evidence against the good
+class, and a kind that few rules see doesn't drift into it.
+
+A text is kept when its posterior probability of being good reaches the
+threshold: a bad vote that the other votes of its kind contradict does not
+decide, and abstentions count for what they are worth in each class.
 
 The counts need one pass over the texts.  Expectation-maximisation runs on the
-table of vote patterns with their frequencies, which has at most 3^rules rows
-whatever the input; per round three sums a rule come to the driver.
+table of vote patterns with their frequencies (at most 3^rules rows whatever the
+input) as one expression over one row; the fitted model, a few hundred numbers,
+comes to the driver.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,20 +31,24 @@ from bulwark.llm.common import materialise
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 ROUNDS = 12
-#: Added to each count of (rule, class, vote), so that no vote is impossible.
-SMOOTHING = 1.0
-FALSE_ALARMS = 0.001
-#: Start: probability of being good with no bad vote, and with any.
-START = (0.95, 0.05)
+KINDS = ("symbols", "repetition", "shouting", "fragments")
+#: Counts that are added per (rule, class, vote), in the order bad, abstain, good: a rule that watches for the
+#: class's own fault, and any other rule (all of them in the good class).
+OWN, OTHER = (2.0, 0.5, 0.5), (0.25, 0.5, 2.0)
+#: Start: weight of the good class with no bad vote and with any, and of a kind per bad vote of its rules (and without one).
+START_CLEAN, START_ACCUSED, START_VOTE, START_NONE = 1.0, 0.1, 1.0, 0.01
 THRESHOLD = 0.5
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_again", "n_single",
+)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A share of two counts; bad above ``bad``, good up to ``good`` (never if that is negative), else no vote."""
+    """A share of two counts; bad above ``bad``, good up to ``good``, else no vote; ``kind`` is the fault it watches for."""
 
     name: str
+    kind: str
     part: str
     over: str
     good: float
@@ -48,19 +56,21 @@ class Rule:
 
     def vote(self) -> Column:
         part, over = F.col(self.part).cast("double"), F.col(self.over).cast("double")
-        return F.when(over == 0, 0).when(part <= self.good * over, 1).when(part > self.bad * over, -1).otherwise(0)
+        return F.when(over == 0, 1).when(part <= self.good * over, 2).when(part > self.bad * over, 0).otherwise(1)
 
     def sql(self) -> str:
-        return f"case when {self.over} = 0 then 0 when {self.part}::double <= {self.good} * {self.over}::double then 1 when {self.part}::double > {self.bad} * {self.over}::double then -1 else 0 end"
+        return f"case when {self.over} = 0 then 1 when {self.part}::double <= {self.good} * {self.over}::double then 2 when {self.part}::double > {self.bad} * {self.over}::double then 0 else 1 end"
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "word_chars", -1.0, 0.05),
-    Rule("repeats", "n_repeat_words", "n_words", -1.0, 0.3),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", -1.0, 0.5),
-    Rule("capitals", "n_upper", "word_chars", 0.1, 0.4),
-    Rule("exclamations", "n_marks", "n_words", -1.0, 0.5),
-    Rule("long_words", "word_chars", "n_words", 10.0, 20.0),
+    Rule("symbols", "symbols", "n_symbols", "word_chars", 0.002, 0.05),
+    Rule("long_words", "symbols", "word_chars", "n_words", 6.0, 6.8),
+    Rule("repeats", "repetition", "n_repeat_words", "n_words", 0.02, 0.3),
+    Rule("stutter", "repetition", "n_again", "n_words", 0.05, 0.3),
+    Rule("duplicate_lines", "repetition", "n_dup_lines", "n_lines", 0.0, 0.5),
+    Rule("capitals", "shouting", "n_upper", "word_chars", 0.06, 0.4),
+    Rule("exclamations", "shouting", "n_marks", "n_words", 0.05, 0.5),
+    Rule("single_letters", "fragments", "n_single", "n_words", 0.06, 0.25),
 )
 
 
@@ -103,6 +113,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
         F.regexp_count(value, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count(value, F.lit("[!?]")).cast("long").alias("n_marks"),
+        F.regexp_count(value, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?![^\x20\x09-\x0D])")).cast("long").alias("n_single"),
     )
     done = _bind(
         packed,
@@ -110,6 +121,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(p["hashes"]).cast("long").alias("n_words"), p["word_chars"].alias("word_chars"), p["n_symbols"].alias("n_symbols"),
             p["lines"]["dup"].alias("n_dup_lines"), _repeat_words(p["hashes"]).alias("n_repeat_words"),
             p["lines"]["n"].alias("n_lines"), p["n_upper"].alias("n_upper"), p["n_marks"].alias("n_marks"),
+            F.size(F.filter(p["hashes"], lambda h, i: F.get(p["hashes"], i - 1) == h)).cast("long").alias("n_again"), p["n_single"].alias("n_single"),
         ),
     )
     kept = [c for c in docs.columns if c not in COUNTS]
@@ -120,52 +132,70 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _added(rules: tuple[Rule, ...]) -> list[list[list[float]]]:
+    """Added counts by rule, vote and class; class 0 is the good one."""
+    return [[[(OWN if r.kind == k else OTHER)[v] for k in (None, *KINDS)] for v in range(3)] for r in rules]
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    """prior: share of good texts; odds[rule][vote]: P(vote | good), P(vote | bad)."""
+    """log_prior[class] and log_share[rule][vote][class]; class 0 is the good one."""
 
-    prior: float
-    odds: tuple[dict[int, tuple[float, float]], ...]
+    log_prior: tuple[float, ...]
+    log_share: tuple[tuple[tuple[float, ...], ...], ...]
 
     def posterior(self, votes: list[Column]) -> Column:
-        good, bad = F.lit(self.prior), F.lit(1.0 - self.prior)
-        for vote, odds in zip(votes, self.odds, strict=True):
-            pick = lambda k: F.when(vote == 1, odds[1][k]).when(vote == -1, odds[-1][k]).otherwise(odds[0][k])  # noqa: B023, E731
-            good, bad = good * pick(0), bad * pick(1)
-        return good / (good + bad)
+        fits = []
+        for k, prior in enumerate(self.log_prior):
+            shares = [F.get(F.lit([float(x[k]) for x in share]), vote) for vote, share in zip(votes, self.log_share, strict=True)]
+            fits.append(sum(shares, F.lit(float(prior))))
+        return 1 / (1 + sum((F.exp(f - fits[0]) for f in fits[1:]), F.lit(0.0)))
+
+
+def _fit_sql(rules: tuple[Rule, ...], rounds: int) -> str:
+    """One expression over ``cells``, the sorted array of (v: votes, n: frequency), that ends in (totals by class, counts by rule, vote and class).
+
+    A state gives every pattern its share w of each class.  Index c of the counts
+    stands for rule c div 3K, vote c div K mod 3 and class c mod K.
+    """
+    many, wide = len(KINDS) + 1, 3 * (len(KINDS) + 1)
+    flat = [x for rule in _added(rules) for vote in rule for x in vote]
+    added = f"array({', '.join(f'{x}D' for x in flat)})"
+    whole = sum(OWN), sum(OTHER)
+    wholes = f"array({', '.join(f'{whole[0] if r.kind == k else whole[1]}D' for r in rules for k in (None, *KINDS))})"
+    kinds = f"array({', '.join(str(KINDS.index(r.kind) + 1) for r in rules)})"
+    start = f"""transform(cells, p -> named_struct('v', p.v, 'n', p.n, 'w', transform(sequence(0, {many - 1}), k -> if(k = 0,
+ if(array_contains(p.v, 0), {START_ACCUSED}D, {START_CLEAN}D),
+ {START_NONE}D + aggregate(sequence(0, {len(rules) - 1}), 0D, (a, j) -> a + if(p.v[j] = 0 and {kinds}[j] = k, {START_VOTE}D, 0D))))))"""
+    scaled = lambda s: f"transform({s}, p -> named_struct('v', p.v, 'n', p.n, 'w', transform(p.w, x -> x / aggregate(p.w, 0D, (a, y) -> a + y))))"
+    sums = f"""named_struct('t', transform(sequence(0, {many - 1}), k -> aggregate(s, 0D, (a, p) -> a + p.n * p.w[k])),
+ 'c', transform(sequence(0, {len(rules) * wide - 1}), c -> aggregate(s, 0D, (a, p) -> a + if(p.v[int(c div {wide})] = int(c div {many}) % 3, p.n * p.w[c % {many}], 0D))))"""
+    logs = f"""named_struct('p', transform(m.t, t -> ln((t + 1) / (aggregate(m.t, 0D, (a, y) -> a + y) + {many}))),
+ 'l', transform(m.c, (x, c) -> ln((x + {added}[c]) / (m.t[c % {many}] + {wholes}[int(c div {wide}) * {many} + c % {many}]))))"""
+    fits = f"transform(g.p, (x, k) -> aggregate(sequence(0, {len(rules) - 1}), x, (a, j) -> a + g.l[j * {wide} + p.v[j] * {many} + k]))"
+    soft = f"transform(array({fits}), f -> transform(f, x -> exp(x - array_max(f))))[0]"
+    step = f"transform(array({logs}), g -> transform(s, p -> named_struct('v', p.v, 'n', p.n, 'w', {soft})))[0]"
+    settled = f"aggregate(sequence(1, {rounds}), {scaled(start)}, (s, i) -> transform(array({sums}), m -> {scaled(step)})[0])"
+    return f"transform(array({settled}), s -> transform(array({sums}), m -> {logs})[0])[0]"
 
 
 def fit(counts: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> VoteModel:
-    """Expectation-maximisation over the vote patterns of all rows of ``counts`` (an empty table gives the start)."""
-    names = [f"v{j}" for j in range(len(rules))]
-    votes = [F.col(n) for n in names]
-    patterns = counts.select(*[r.vote().alias(n) for r, n in zip(rules, names, strict=True)]).groupBy(*names).count()
-    patterns = patterns.coalesce(1).sortWithinPartitions(*names).persist()
-    try:
-        good = F.when(F.array_contains(F.array(*votes), -1), START[1]).otherwise(START[0])
-        cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("vote")) for n in names])
-        for _ in range(rounds):
-            long = patterns.select(cells.alias("cells"), "count", good.alias("good")).select(F.inline("cells"), "count", "good")
-            sums = long.groupBy("rule", "vote").agg(F.sum(F.col("good") * F.col("count")).alias("g"), F.sum((1 - F.col("good")) * F.col("count")).alias("b"))
-            found = {(r["rule"], r["vote"]): (r["g"], r["b"]) for r in sums.collect()}  # at most three rows a rule
-            g, b = (math.fsum(v[k] for (n, _), v in found.items() if n == names[0]) for k in (0, 1))
-            share = lambda n, v, k: (found.get((n, v), (0.0, 0.0))[k] + SMOOTHING) / ((g, b)[k] + 3 * SMOOTHING)  # noqa: B023, E731
-            odds = tuple({-1: (min(share(n, -1, 0), FALSE_ALARMS), share(n, -1, 1)), 0: (share(n, 0, 0), share(n, 0, 1)), 1: (share(n, 1, 0), share(n, 1, 1))} for n in names)
-            model = VoteModel((g + 1) / (g + b + 2), odds)
-            good = model.posterior(votes)
-    finally:
-        patterns.unpersist()
-    return model
+    """Expectation-maximisation over the vote patterns of all rows of ``counts`` (an empty table gives the added counts alone)."""
+    votes = counts.select(F.array(*[r.vote() for r in rules]).alias("v")).groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    model = votes.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("cells")).select(F.expr(_fit_sql(rules, rounds)).alias("m")).first()["m"]
+    many = len(KINDS) + 1
+    shares = tuple(tuple(tuple(model["l"][(3 * j + v) * many : (3 * j + v + 1) * many]) for v in range(3)) for j in range(len(rules)))
+    return VoteModel(tuple(model["p"]), shares)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
     """Adds COUNTS, base_failed, quality (posterior) and kept to every row of ``docs``.
 
     Columns of these names are replaced.  Empty and null texts fail the base
-    rule.  Repeated rows count as often as they occur; an empty table stays
-    empty.  Texts are never shuffled: they are read and counted twice, once to
-    fit, or, where the result need not carry them, counted once and the counts
-    written.
+    rule.  Repeated rows count as often as they occur; texts of any length are
+    counted whole; an empty table stays empty.  Texts are never shuffled: they
+    are read and counted twice, once to fit, or, where the result need not carry
+    them, counted once and the counts written.
     """
     fresh = docs.drop("base_failed", "quality", "kept")
     if with_text:
@@ -182,6 +212,8 @@ def oracle_ctes(source: str = "documents", rules: tuple[Rule, ...] = RULES, roun
     """DuckDB CTEs that end in ``judged(doc_id, n_words .. n_repeat_words, base_failed, kept)`` for ``source(doc_id, text)``."""
     names = [f"v{j}" for j in range(len(rules))]
     space = r"[\x20\x09-\x0D]"
+    own = ", ".join(f"({j}, {KINDS.index(r.kind) + 1})" for j, r in enumerate(rules))
+    added = ", ".join(f"({j}, {v}, {k}, {x}, {sum(OWN) if k and rules[j].kind == KINDS[k - 1] else sum(OTHER)})" for j, rule in enumerate(_added(rules)) for v, vote in enumerate(rule) for k, x in enumerate(vote))
     parts = [
         f"""q_text as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from {source}),
 q_words as (select rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from q_text),
@@ -189,24 +221,36 @@ q_windows as (select rid, unnest(range(1, len(w) - {WINDOW - 2})) as i, w from q
 q_keys as (select rid, i, hash(array_to_string(w[i:i + {WINDOW - 1}], ' ')) as k, array_to_string(w[i:i + {WINDOW - 1}], ' ') as s from q_windows),
 q_twice as (select rid, i from (select rid, i, count(*) over (partition by rid, k, s) as c from q_keys) where c > 1),
 q_rep as (select rid, sum(least({WINDOW}, coalesce(i - lag_i, {WINDOW}))) as n_repeat_words from (select rid, i, lag(i) over (partition by rid order by i) as lag_i from q_twice) group by rid),
-q_counts as (select doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{space}', '', 'g'))::bigint as word_chars,
+q_counts as (select rid, doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{space}', '', 'g'))::bigint as word_chars,
  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
  (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines,
- (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_upper, (length(text) - length(regexp_replace(text, '[!?]', '', 'g')))::bigint as n_marks
+ (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::bigint as n_upper, (length(text) - length(regexp_replace(text, '[!?]', '', 'g')))::bigint as n_marks,
+ len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::bigint as n_again, len(list_filter(w, lambda x: length(x) = 1))::bigint as n_single
  from q_text join q_words using (rid) left join q_rep using (rid)),
 q_votes as (select *, {", ".join(f"{r.sql()} as {n}" for r, n in zip(rules, names, strict=True))} from q_counts),
-q_patterns as materialized (select {", ".join(names)}, count(*)::double as n from q_votes group by all),
-q_e0 as (select *, case when least({", ".join(names)}) = -1 then {START[1]} else {START[0]} end as g from q_patterns)"""
+q_patterns as materialized (select row_number() over () as pid, {", ".join(names)}, count(*)::double as n from q_votes group by {", ".join(names)}),
+q_long as materialized ({" union all ".join(f"select pid, n, {j} as r, {n} as v from q_patterns" for j, n in enumerate(names))}),
+q_own(r, kind) as (values {own}),
+q_added(r, v, k, x, whole) as (values {added}),
+q_start as (select pid, k, case when k = 0 then case when bad > 0 then {START_ACCUSED} else {START_CLEAN} end else {START_NONE} + {START_VOTE} * mine end as w
+ from (select pid, k, sum((v = 0)::int) as bad, sum((v = 0 and kind = k)::int) as mine from q_long join q_own using (r), range({len(KINDS) + 1}) t(k) group by pid, k)),
+q_w0 as materialized (select pid, k, w::double / sum(w) over (partition by pid) as w from q_start)"""
     ]
-    votes = [(n, v) for n in names for v in (-1, 0, 1)]
-    most = lambda v: FALSE_ALARMS if v == -1 else 1.0
     for t in range(rounds):
-        sums = ", ".join(f"least({most(v)}, (coalesce(sum(case when {n} = {v} then n * g end), 0) + {SMOOTHING}) / (sum(n * g) + {3 * SMOOTHING})) as g_{n}_{v + 1}, (coalesce(sum(case when {n} = {v} then n * (1 - g) end), 0) + {SMOOTHING}) / (sum(n * (1 - g)) + {3 * SMOOTHING}) as b_{n}_{v + 1}" for n, v in votes)
-        side = lambda c: " * ".join(f"(case {n} when 1 then {c}_{n}_2 when -1 then {c}_{n}_0 else {c}_{n}_1 end)" for n in names)
-        parts.append(f"q_m{t} as materialized (select (sum(n * g) + 1) / (sum(n) + 2) as prior, {sums} from q_e{t})")
-        parts.append(f"q_e{t + 1} as materialized (select {', '.join(names)}, n, prior * {side('g')} / (prior * {side('g')} + (1 - prior) * {side('b')}) as g from q_patterns, q_m{t})")
+        parts.append(f"q_t{t} as materialized (select k, sum(n * w) as t from q_w{t} join q_patterns using (pid) group by k)")
+        parts.append(f"q_c{t} as materialized (select r, v, k, sum(n * w) as c from q_long join q_w{t} using (pid) group by r, v, k)")
+        parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1}))) as f
+ from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) group by pid, k)""")
+        parts.append(f"q_w{t + 1} as materialized (select pid, k, exp(f - top) / sum(exp(f - top)) over (partition by pid) as w from (select *, max(f) over (partition by pid) as top from q_f{t}))")
+    # the model of the last round is applied once more, to the documents
+    t = rounds
+    parts.append(f"q_t{t} as materialized (select k, sum(n * w) as t from q_w{t} join q_patterns using (pid) group by k)")
+    parts.append(f"q_c{t} as materialized (select r, v, k, sum(n * w) as c from q_long join q_w{t} using (pid) group by r, v, k)")
+    parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1}))) as f
+ from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) group by pid, k)""")
+    parts.append(f"q_good as materialized (select pid, 1 / sum(exp(f - good)) as g from (select *, max(f) filter (k = 0) over (partition by pid) as good from q_f{t}) group by pid)")
     parts.append(
         f"""judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
- not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and g >= {threshold} as kept from q_votes join q_e{rounds} using ({", ".join(names)}))"""
+ not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and g >= {threshold} as kept from q_votes join q_patterns using ({", ".join(names)}) join q_good using (pid))"""
     )
     return ",\n".join(parts)
