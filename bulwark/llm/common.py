@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder that the session names; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder that the session names; a temporary one only in local mode without one (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bulwark-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -90,3 +92,31 @@ def training_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     )
     picked = [known.where(F.col("label") == c).orderBy("rank", "doc_id").limit(per_class) for c in (0, 1)]
     return picked[0].unionByName(picked[1])
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int, text: str = "text") -> DataFrame:
+    """(doc_id, label, rank, text): the bounded sample of labelled texts that a classifier is fitted on.
+
+    The ids of ``training_labels``; of each class, in the order of their rank,
+    those whose texts take ``most_bytes`` together (a text that would exceed
+    them is left out).  Of differing texts of one id, the one with the smallest
+    hash counts, and it counts once; so the sample does not depend on the order
+    or the partitioning of the rows.  Null texts are empty.
+    """
+    spark = docs.sparkSession
+    # both tables have at most 2 * per_class rows
+    sample = training_labels(labels, label, per_class)
+    value = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select("doc_id", value.alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "rank", "text", F.xxhash64("text").alias("h"))
+    one = found.groupBy("doc_id", "label", "rank").agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("m"))
+    sizes = one.select("doc_id", "label", "rank", "m.h", "m.n").toArrow()
+    order = sorted(range(sizes.num_rows), key=lambda k: (sizes["rank"][k].as_py(), str(sizes["doc_id"][k].as_py())))
+    left, take = {0: most_bytes, 1: most_bytes}, []
+    for k in order:
+        n, c = sizes["n"][k].as_py(), sizes["label"][k].as_py()
+        if n <= left[c]:
+            left[c] -= n
+            take.append(k)
+    picked = spark.createDataFrame(sizes.take(pa.array(take, pa.int64())).select(["doc_id", "label", "rank", "h"]))
+    rows = docs.select("doc_id", value.alias("text")).withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"])
+    return rows.groupBy("doc_id", "label", "rank").agg(F.first("text").alias("text"))

@@ -7,9 +7,9 @@ is scaled by the class log-count ratio of its bucket, texts are scaled to unit
 length, and a hinge loss is minimised by dual coordinate descent.  A logistic
 curve fitted on texts that the descent did not see turns margins into scores.
 
-The fit takes at most ``PER_CLASS`` labelled texts of each class (a documented
-bound, so the sample that reaches the driver does not grow); scoring takes
-every word of every text.
+The fit takes at most ``PER_CLASS`` labelled texts and ``SAMPLE_BYTES`` of text of
+each class (documented bounds, so the sample that reaches the driver does not
+grow); scoring takes every word of every text.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import slices, small_batches
+from bulwark.llm.common import give_back, labelled_texts, slices, small_batches
 from bulwark.llm.textkernel import Words, lower_ascii, mix, text_buffer
 
 BUCKETS = 1 << 17
-PER_CLASS = 4096
+PER_CLASS, SAMPLE_BYTES = 4096, 16 << 20
 COST, EPOCHS, SEED = 1.0, 12, 7
 #: Every so many-th text of the sample is left to the logistic curve.
 HOLD = 4
@@ -174,37 +174,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(plain.weights, ratios, bias, slope, shift)
 
 
-def train(docs: DataFrame, sample: DataFrame, text: str = "text") -> Model:
-    """Fit on the texts of ``sample(doc_id, label, rank)``, which is bounded by its maker.
+def train(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") -> Model:
+    """Fit on the sample that ``labelled_texts`` takes: at most PER_CLASS texts and SAMPLE_BYTES of text of each class.
 
-    Executors turn whole texts into bucket numbers (at most BUCKETS a text); the
-    driver gets those.  Repeated rows of one doc_id count once.
+    Executors turn whole texts into bucket numbers; the driver gets those, at
+    most two for each byte of the sample.  Without labels, every text gets the
+    same score; a label without a text counts nowhere.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = labelled_texts(docs, labels, label, PER_CLASS, SAMPLE_BYTES, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lists = pa.array([x.astype(np.int32) for x in features(batch.column("text"))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "rank")), lists], names=["doc_id", "label", "rank", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("label"), batch.column("rank"), lists], names=["name", "label", "rank", "buckets"])
 
-    found = texts.select("doc_id", "label", "rank", "text").mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, label int, rank long, buckets array<int>").toArrow()
+    named = texts.select(F.col("doc_id").cast("string").alias("name"), "label", "rank", "text")
+    found = named.mapInArrow(run, "name string, label int, rank long, buckets array<int>").toArrow()
     # the lists stay in one Arrow buffer; rows are views of it, in the order of the ranks
     lists = found["buckets"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    labels = found["label"].to_numpy()
-    order = {(r, str(i)): k for k, (r, i) in enumerate(zip(found["rank"].to_pylist(), found["doc_id"].to_pylist(), strict=True))}
-    chosen = [order[k] for k in sorted(order)]
-    model = fit([flat[at[k] : at[k + 1]] for k in chosen], labels[chosen] if len(chosen) else np.zeros(0))
+    y = found["label"].to_numpy()
+    order = sorted(range(len(y)), key=list(zip(found["rank"].to_pylist(), found["name"].to_pylist(), strict=True)).__getitem__)
+    model = fit([flat[at[k] : at[k + 1]] for k in order], y[order] if order else np.zeros(0))
     del found, lists, flat, at
-    pa.default_memory_pool().release_unused()
+    give_back()
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds ``into`` (0 to 1) to every row; a column of that name is replaced.  Null texts are empty ones."""
+    """Adds ``into`` (0 to 1) to every row; a column of that name is replaced.
+
+    Null texts are empty ones, and a text of any length is scored whole.  Equal
+    texts get equal scores, repeated rows one score each; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     source = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)

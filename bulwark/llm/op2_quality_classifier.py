@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import held_out, table, training_labels
-from bulwark.llm.nbsvm import PER_CLASS, score, train
+from bulwark.llm.common import held_out, table
+from bulwark.llm.nbsvm import score, train
 from bulwark.llm.registry import query
 
 THRESHOLD = 0.7
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = train(docs, training_labels(labels, "quality", PER_CLASS))
-    return score(docs, model)
+    return score(docs, train(docs, labels, "quality"))
 
 
 @query("op2_quality_classifier")

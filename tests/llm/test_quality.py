@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bulwark.llm import nbsvm
-from bulwark.llm.common import held_out, training_labels
-from bulwark.llm.quality_rules import FALSE_ALARMS, RULES, fit, judge, with_counts
+from bulwark.llm.common import held_out, labelled_texts, training_labels
+from bulwark.llm.quality_rules import KINDS, OTHER, OWN, ROUNDS, RULES, START_ACCUSED, START_CLEAN, START_NONE, START_VOTE, fit, judge, with_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,24 +57,53 @@ def test_votes_keep_clean_and_drop_bad_texts(spark, documents):
     assert judge(documents(good).limit(0)).count() == 0
 
 
+def em_by_rows(votes, rounds=ROUNDS):
+    """Posterior of the good class: the same model on one row per document."""
+    kinds = np.array([KINDS.index(r.kind) + 1 for r in RULES])
+    w = np.full((len(votes), len(KINDS) + 1), START_NONE)
+    for k in range(1, len(KINDS) + 1):
+        w[:, k] += START_VOTE * (votes[:, kinds == k] == 0).sum(axis=1)
+    w[:, 0] = np.where((votes == 0).any(axis=1), START_ACCUSED, START_CLEAN)
+    w /= w.sum(axis=1, keepdims=True)
+    for _ in range(rounds + 1):
+        total = w.sum(axis=0)
+        fits = np.tile(np.log((total + 1) / (total.sum() + len(total))), (len(votes), 1))
+        for j in range(len(RULES)):
+            for k in range(len(total)):
+                added = OWN if kinds[j] == k else OTHER
+                share = [(w[votes[:, j] == v, k].sum() + added[v]) / (total[k] + sum(added)) for v in range(3)]
+                fits[:, k] += np.log(np.array(share)[votes[:, j]])
+        w = np.exp(fits - fits.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+    return w[:, 0]
+
+
 def test_expectation_maximisation_matches_numpy(spark, documents):
     good, bad, odd = sample()
     table = with_counts(documents(good + bad + odd))
-    model = fit(table)
-    votes = np.array([list(r) for r in table.select(*[r.vote() for r in RULES]).collect()])
-    g = np.where((votes == -1).any(axis=1), 0.05, 0.95)
-    for _ in range(12):
-        prior = (g.sum() + 1) / (len(g) + 2)
-        up, down = np.full(len(g), prior), np.full(len(g), 1 - prior)
-        for j in range(votes.shape[1]):
-            for v in (-1, 0, 1):
-                m = votes[:, j] == v
-                up[m] *= min((g[m].sum() + 1) / (g.sum() + 3), FALSE_ALARMS if v == -1 else 1)
-                down[m] *= ((1 - g)[m].sum() + 1) / ((1 - g).sum() + 3)
-        g = up / (up + down)
-    assert model.prior == pytest.approx(prior)
-    got = np.array([r[0] for r in table.select(model.posterior([r.vote() for r in RULES])).collect()])
-    assert np.allclose(np.sort(got), np.sort(g))
+    votes = [r.vote() for r in RULES]
+    rows = table.select(*votes, fit(table).posterior(votes).alias("p")).collect()
+    assert np.allclose([r["p"] for r in rows], em_by_rows(np.array([list(r)[:-1] for r in rows])))
+
+
+def test_posterior_outweighs_single_votes():
+    """One bad vote that its kind contradicts does not decide, and two that agree do."""
+    rng = np.random.default_rng(0)
+    votes = np.full((600, len(RULES)), 2)
+    votes[500:560, :2], votes[560:, 7] = 0, 0  # symbols and long words; single letters
+    votes[rng.integers(0, 500, 4), 3] = 0
+    kept = em_by_rows(votes) >= 0.5
+    assert kept[:500].all() and not kept[500:].any()
+
+
+def test_sample_takes_one_text_per_id(spark, documents):
+    docs = documents(["a b", "c d", "c d", None, "e" * 50, "f"], ids=[1, 2, 2, 3, 4, 2])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    held = {r["doc_id"] for r in labels.where(held_out()).collect()}
+    took = lambda d, most: sorted((r["doc_id"], r["text"]) for r in labelled_texts(d, labels, "quality", 10, most).collect())
+    whole = took(docs, 1000)
+    assert whole == took(docs.repartition(5, "text"), 1000) and {i for i, _ in whole} == {1, 2, 3, 4} - held
+    assert 4 not in {i for i, _ in took(docs, 40)}  # its text is longer than all of the sample
 
 
 def test_held_out_rule_and_bounded_sample(spark):
@@ -92,19 +121,19 @@ def test_classifier_on_held_out_texts(spark, documents):
     docs = documents((good + bad) * 3 + odd)
     n = 3 * (len(good) + len(bad))
     labels = spark.createDataFrame([(i, int(i % (len(good) + len(bad)) < len(good))) for i in range(n)], "doc_id long, quality int")
-    model = nbsvm.train(docs, training_labels(labels, "quality", 500))
+    model = nbsvm.train(docs, labels, "quality")
     rows = {r["doc_id"]: r for r in nbsvm.score(docs, model).withColumn("h", held_out()).collect()}
     assert len(rows) == n + len(odd) and all(0 <= r["score"] <= 1 for r in rows.values())
     right = [(rows[i]["score"] >= 0.7) == (i % (len(good) + len(bad)) < len(good)) for i in range(n) if rows[i]["h"]]
     assert np.mean(right) > 0.95
-    again = nbsvm.train(docs.repartition(5), training_labels(labels, "quality", 500))
+    again = nbsvm.train(docs.repartition(5), labels, "quality")
     assert np.allclose(model.weights, again.weights)
 
 
 def test_classifier_without_labels_or_rows(spark, documents):
     docs = documents(["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int")
-    model = nbsvm.train(docs, training_labels(none, "quality", 10))
+    model = nbsvm.train(docs, none, "quality")
     assert [r["score"] for r in nbsvm.score(docs, model).collect()] == [0.5, 0.5]
     assert nbsvm.score(docs.limit(0), model).count() == 0
 
