@@ -1,20 +1,23 @@
 """Toxicity by class-conditional Kneser-Ney models over bytes.
 
 One interpolated Kneser-Ney model of order ``ORDER`` is counted on toxic and one
-on ordinary texts.  Orders up to ``SHARED`` pool the counts of both classes, so
-an expression that neither class knows well gets the same backed-off probability
-in both and says nothing.  The models are joined into one back-off table: for
-every known n-gram the log-ratio of its two probabilities, and for every known
-context the log-ratio of the two back-off weights.  A byte of a text then costs
-one lookup per order, done for a whole batch at once.
+on ordinary texts.  Orders up to ``SHARED`` pool the counts of both classes, and
+at every order ``STRENGTH`` occurrences are added that follow the order below; so
+an expression that neither class knows well keeps the probability that both
+share and says nothing, whatever the sizes of the classes.  The models are joined
+into one back-off table: for every known n-gram the log-ratio of its two
+probabilities, and for every known context the log-ratio of the two back-off
+weights.  From order ``PLAIN`` on the table holds contexts that toxic texts have.
+A byte of a text then costs one lookup per order, done for a whole batch at once.
 
 A text is compared by length-normalised log-likelihood ratios: over the whole
 text, over its most toxic run of ``RUN`` words and over its most toxic word (a
 short insult in a long text would vanish in the first alone).  A logistic curve
-over the three, fitted on texts that were not counted, gives the score.
+over the three gives the score; it is fitted on every HOLD-th text, with models
+that have not counted those, and the models are then counted on all texts.
 
-Counts come from at most ``PER_CLASS`` labelled texts of each class and
-``SAMPLE_BYTES`` of text in all (documented bounds); scoring takes whole texts.
+Counts come from at most ``PER_CLASS`` labelled texts and ``SAMPLE_BYTES`` of text
+of each class (documented bounds); scoring takes whole texts.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import slices, small_batches
+from bulwark.llm.common import labelled_texts, slices, small_batches
 from bulwark.llm.textkernel import Words, lower_ascii, text_buffer
 
-ORDER, SHARED = 5, 3
+ORDER, SHARED, PLAIN = 8, 3, 6
+STRENGTH = 40.0
 RUN = 8
 PER_CLASS = 3072
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 8 << 20
 HOLD = 4
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -86,24 +90,19 @@ class _Counts:
         at, hit = self._find(self.context, keys >> np.uint64(8))
         if not len(self.context):
             return lower
-        total, weight = self.total[at], self.discount * self.distinct[at] / self.total[at]
-        return np.where(hit, np.maximum(c - self.discount, 0) / total + weight * lower, lower)
+        weight = self.discount * self.distinct[at] + STRENGTH
+        return np.where(hit, (np.maximum(c - self.discount, 0) + weight * lower) / (self.total[at] + STRENGTH), lower)
 
     def backoff(self, contexts: np.ndarray) -> np.ndarray:
         at, hit = self._find(self.context, contexts)
-        return np.where(hit, self.discount * self.distinct[at] / self.total[at], 1.0) if len(self.context) else np.ones(len(contexts))
+        return np.where(hit, (self.discount * self.distinct[at] + STRENGTH) / (self.total[at] + STRENGTH), 1.0) if len(self.context) else np.ones(len(contexts))
 
 
 def _tables(buf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, Kneser-Ney counts) of orders 1 to ORDER."""
-    found = [np.unique(grams(buf, k), return_counts=True) for k in range(1, ORDER + 1)]
-    out = [found[-1]]
+    """(n-grams, Kneser-Ney counts) of orders 1 to ORDER: occurrences of the longest, distinct bytes before each shorter one."""
+    out = [np.unique(grams(buf, ORDER), return_counts=True)]
     for k in range(ORDER - 1, 0, -1):
-        low, n = np.unique(_low(found[k][0], k), return_counts=True)  # distinct bytes before each n-gram
-        keep = np.isin(found[k - 1][0], low)
-        keys, counts = found[k - 1][0], np.ones(len(found[k - 1][0]), np.int64)
-        counts[keep] = n[np.searchsorted(low, keys[keep])]
-        out.append((keys, counts))
+        out.append(np.unique(_low(out[-1][0], k), return_counts=True))
     return out[::-1]
 
 
@@ -201,19 +200,9 @@ class Model:
         return np.column_stack([np.clip(x[:, 0] * 10, -10, 10), np.clip(x[:, 1] * 2, -10, 10), np.clip(x[:, 2], -10, 20), np.ones(len(x))])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Texts in a fixed order, labels 0 or 1.  Without a class, scores are the share of toxic texts."""
-    y = np.asarray(labels, dtype=float)
-    none = [np.zeros(0, np.uint64)] * ORDER, [np.zeros(0, np.float32)] * ORDER, [np.zeros(0, np.float32)] * ORDER
-    share = (y.sum() + 1) / (len(y) + 2)
-    flat = np.array([0, 0, 0, np.log(share / (1 - share))])
-    if len(y) == 0 or y.min() == y.max():
-        return Model(*none, flat)
-    hold = np.zeros(len(y), bool)
-    for c in (0, 1):
-        mine = np.flatnonzero(y == c)
-        hold[mine[HOLD - 1 :: HOLD]] = True
-    side = {c: _tables(padded(pa.array([t for t, v, h in zip(texts, y, hold, strict=True) if v == c and not h], pa.large_string()))[0]) for c in (0, 1)}
+def count(texts: list[str], y: np.ndarray) -> Model:
+    """The back-off table of texts with labels 0 and 1; its curve is not set."""
+    side = {c: _tables(padded(pa.array([t for t, v in zip(texts, y, strict=True) if v == c], pa.large_string()))[0]) for c in (0, 1)}
     keys, ratio, weight = [], [], []
     lower = {0: None, 1: None}
     for k in range(ORDER):
@@ -223,8 +212,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             pooled = np.bincount(inverse, weights=np.concatenate([side[0][k][1], side[1][k][1]]))
             counts = {c: _Counts(known, pooled) for c in (0, 1)}
         else:
-            known = np.union1d(side[0][k][0], side[1][k][0])
-            counts = {c: _Counts(*side[c][k]) for c in (0, 1)}
+            if k >= PLAIN - 1:
+                here = np.unique(side[1][k][0] >> np.uint64(8))
+                mine = {c: (side[c][k][0] >> np.uint64(8), _low(side[c][k][0], k)) for c in (0, 1)}
+                keep = {c: np.isin(mine[c][0], here, kind="sort") & np.isin(mine[c][1], keys[k - 1], kind="sort") for c in (0, 1)}
+                counts = {c: _Counts(side[c][k][0][keep[c]], side[c][k][1][keep[c]]) for c in (0, 1)}
+            else:
+                counts = {c: _Counts(*side[c][k]) for c in (0, 1)}
+            known = np.union1d(counts[0].keys, counts[1].keys)
         p = {}
         for c in (0, 1):
             below = np.full(len(known), 1 / 256) if k == 0 else lower[c][np.searchsorted(keys[k - 1], _low(known, k))]
@@ -234,11 +229,29 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         keys.append(known)
         ratio.append(np.log(p[1] / p[0]).astype(np.float32))
         lower = p
+        side[0][k] = side[1][k] = None
     weight.append(np.zeros(len(keys[-1]), np.float32))
-    model = Model(keys, ratio, weight, flat)
-    at = np.flatnonzero(hold) if len(set(y[hold])) == 2 else np.arange(len(y))
-    x = Model._wide(np.concatenate([model.inputs(pa.array([texts[i]], pa.large_string())) for i in at]))
-    model.curve = _rising_logistic(x, y[at])
+    return Model(keys, ratio, weight, np.zeros(4))
+
+
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """Texts in a fixed order, labels 0 or 1.  Without a class, scores are the share of toxic texts."""
+    y = np.asarray(labels, dtype=float)
+    if len(y) == 0 or y.min() == y.max():
+        share = (y.sum() + 1) / (len(y) + 2)
+        none = [np.zeros(0, np.uint64)] * ORDER, [np.zeros(0, np.float32)] * ORDER, [np.zeros(0, np.float32)] * ORDER
+        return Model(*none, np.array([0, 0, 0, np.log(share / (1 - share))]))
+    hold = np.zeros(len(y), bool)
+    for c in (0, 1):
+        hold[np.flatnonzero(y == c)[HOLD - 1 :: HOLD]] = True
+    use = ~hold if len(set(y[hold])) == 2 else np.ones(len(y), bool)
+    judged = hold if len(set(y[hold])) == 2 else use
+    first = count([t for t, u in zip(texts, use, strict=True) if u], y[use])
+    x = Model._wide(np.concatenate([first.inputs(pa.array([texts[i]], pa.large_string())) for i in np.flatnonzero(judged)]))
+    curve = _rising_logistic(x, y[judged])
+    del first
+    model = count(texts, y)
+    model.curve = curve
     return model
 
 
@@ -268,23 +281,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6
     return w
 
 
-def train(docs: DataFrame, sample: DataFrame, text: str = "text") -> Model:
-    """Fit on the texts of ``sample(doc_id, label, rank)``; texts that would exceed SAMPLE_BYTES in all are left out."""
-    found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-    sizes = sorted({(r["rank"], str(r["doc_id"])): (r["label"], r["n"]) for r in found.select("rank", "doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toLocalIterator()}.items())
-    left, take = {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}, set()
-    for key, (label, n) in sizes:
-        if n <= left[label]:
-            left[label] -= n
-            take.add(key[1])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(take)], "picked string")
-    rows = found.join(F.broadcast(ids), F.col("doc_id").cast("string") == F.col("picked"), "left_semi").select("rank", "doc_id", "label", "text").toLocalIterator()
-    ordered = sorted({(r["rank"], str(r["doc_id"])): (r["text"] or "", r["label"]) for r in rows}.items())
-    return fit([t for _, (t, _) in ordered], [y for _, (_, y) in ordered])
+def train(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") -> Model:
+    """Fit on the sample that ``labelled_texts`` takes: at most PER_CLASS texts and SAMPLE_BYTES of text of each class."""
+    sample = labelled_texts(docs, labels, label, PER_CLASS, SAMPLE_BYTES, text)
+    found = sample.select(F.col("doc_id").cast("string").alias("name"), "label", "rank", "text").toArrow()
+    order = sorted(range(found.num_rows), key=list(zip(found["rank"].to_pylist(), found["name"].to_pylist(), strict=True)).__getitem__)
+    texts, y = found["text"].to_pylist(), found["label"].to_pylist()
+    del found
+    return fit([texts[k] for k in order], [y[k] for k in order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds ``into`` (0 to 1, higher: likelier toxic) to every row; a column of that name is replaced.  Null texts are empty."""
+    """Adds ``into`` (0 to 1, higher: likelier toxic) to every row; a column of that name is replaced.
+
+    Null texts are empty ones, and a text of any length is scored whole.  Equal
+    texts get equal scores, repeated rows one score each; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     source = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)

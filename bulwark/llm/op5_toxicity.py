@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import held_out, table, training_labels
-from bulwark.llm.kneser_ney import PER_CLASS, score, train
+from bulwark.llm.common import held_out, table
+from bulwark.llm.kneser_ney import score, train
 from bulwark.llm.registry import query
 
 THRESHOLD = 0.3
@@ -15,5 +15,5 @@ THRESHOLD = 0.3
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = train(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", PER_CLASS))
+    model = train(docs, table(spark, sf_dir, "labels"), "toxic")
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
