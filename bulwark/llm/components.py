@@ -1,8 +1,10 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by hooking and pointer jumping.
 
-Only edges move; every step is an aggregation and a join on node ids, and the
-edges are checkpointed in the shared folder.  Hubs are met by partial
-aggregation (minimum per node) and by skew-join splitting.
+Every round hooks each component onto its smallest neighbour (an aggregate with
+partial minima), shortens the chains this makes by joining parents with their
+parents, and contracts the edges.  Only edges and parents move.  What is joined
+has been written to the shared folder first, so a hub is an ordinary hot key
+that the skew join splits, and a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -13,38 +15,35 @@ from pyspark.sql import functions as F
 from bulwark.llm.common import materialise
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _parents(edges: DataFrame) -> DataFrame:
+    """(node, parent): the smallest neighbour of each node that has a smaller one, followed to the end."""
+    up = materialise(edges.groupBy("b").agg(F.min("a").alias("parent")).withColumnRenamed("b", "node"))
+    while True:
+        further = up.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        if up.join(further, "parent", "left_semi").isEmpty():
+            return up
+        up = materialise(up.join(further, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    # every edge points from the larger to the smaller node
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return least.select("a", F.col("m").alias("b")).unionByName(moved)
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges(a, b)``; component is the smallest node reachable.
 
     Self-loops, repeated edges and either direction are allowed; rows with a
     null end are ignored.  Nodes without edges do not appear; no edges, no rows.
     """
-    stars = materialise(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(most_rounds):
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
-        stars = materialise(_small_star(_large_star(stars).distinct()).distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = materialise(ordered(edges.select("a", "b")))
+    label = None
+    while not left.isEmpty():
+        up = _parents(left)
+        root = lambda df, c: df.join(up.select(F.col("node").alias(c), "parent"), c, "left").withColumn(c, F.coalesce("parent", c)).drop("parent")  # noqa: B023, E731
+        left = materialise(ordered(root(root(left, "a"), "b")))
+        if label is None:
+            label = up.withColumnRenamed("parent", "component")
+        else:
+            again = up.select(F.col("node").alias("component"), "parent")
+            label = label.join(again, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+            label = materialise(label.unionByName(up.withColumnRenamed("parent", "component")).groupBy("node").agg(F.min("component").alias("component")))
+    if label is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())

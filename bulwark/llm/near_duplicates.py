@@ -11,12 +11,19 @@ threshold go.  A second parity bitmap folds the whole set: its XOR never counts
 more than the symmetric difference, so it rules pairs out with certainty.  What
 is left is confirmed on the full sets.
 
-Groups are never expanded into all pairs.  First every member of a band bucket
-is held against the bucket's smallest id, and components are formed.  Then only
-members of a bucket outside its largest component are held against its members
-of other components: first the nearest one in each, and, once those links have
-joined components, all that are left, so that no link between components stays
-unseen.
+Groups are not expanded into all pairs.  Every member of a band bucket is held
+against the bucket's smallest and largest id, and components are formed.  Then
+members outside a bucket's largest component are held against its members of
+other components, so that no link between components stays unseen.
+
+Documents that share a long passage without being alike meet in large buckets,
+all in components of their own.  Members of buckets above ``HOT`` are therefore
+dealt anew by prefix filtering, which is exact: under one order of all shingles,
+rarest first, two linked sets share one of their first n - ceil(0.85 n) + 1
+shingles.  Shared passages are frequent and come last, so they bring nobody
+together.  The order follows counts in ``CELLS`` cells (it decides about cost
+only).  Buckets of prefix shingles stay large where many unlike documents share
+their rarest shingles; those are worked off in full.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bulwark.llm.common import materialise, slices, small_batches
 from bulwark.llm.components import connected_components
@@ -36,6 +44,8 @@ WIDTH, PERCENT = 5, 85
 BANDS, ROWS = 32, 6
 SKETCH_WORDS = 16  # of 64 bits
 PARITY_WORDS = 32
+#: Members of the largest band bucket that is kept as it is, and cells of the shingle counts.
+HOT, CELLS = 64, 1 << 18
 #: Candidates whose estimate lies this far below the threshold go: more than five standard errors.
 MARGIN = 0.15
 
@@ -142,22 +152,59 @@ _SKETCH = ("n_shingles", "odd", "parity")
 _SHORT = {"n_shingles": "n", "odd": "odd", "parity": "parity"}
 
 
-def _side(frame: DataFrame, s: str, *more: str) -> DataFrame:
-    return frame.select(*more, F.col("id").alias(s), *[F.col(c).alias(f"{_SHORT[c]}_{s}") for c in _SKETCH])
+def _plausible_pairs(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches do not rule out."""
+    side = lambda s: slim.select(F.col("id").alias(s), *[F.col(c).alias(f"{_SHORT[c]}_{s}") for c in _SKETCH])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible(percent)).select("a", "b")
 
 
-def _between(slim: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, part_b, far): plausible pairs of one bucket but different components; a is outside the bucket's largest."""
-    at = slim.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    inside = buckets.select("key", "id").join(at.select("id", "part"), "id")
-    tally = inside.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+def _between(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): members of one bucket but different components; a is outside the bucket's largest."""
+    at = buckets.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    tally = at.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = tally.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("main"))
-    mixed = materialise(inside.join(materialise(largest), "key").join(slim, "id"))
-    minor = _side(mixed.where("part <> main"), "a", "key", F.col("part").alias("part_a"))
-    every = _side(mixed, "b", "key", "main", F.col("part").alias("part_b"))
+    mixed = materialise(at.join(materialise(largest), "key"))
+    minor = mixed.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
+    every = mixed.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main")
     # two minor members meet once
-    wanted = (minor["key"] == every["key"]) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _plausible(percent)
-    return minor.join(every, wanted).select("a", "b", "part_b", _flipped("parity_a", "parity_b", PARITY_WORDS).alias("far"))
+    return minor.join(every, "key").where("part_a <> part_b and (part_b = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_ends(members: DataFrame) -> DataFrame:
+    """(id, key, low, high, n) of the members (id, key) of all buckets with two members or more, written."""
+    ends = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialise(members.join(materialise(ends), "key").select("id", "key", "low", "high", "n"))
+
+
+def rare_prefixes(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, key): the rarest shingles of each text of (doc_id, text), as many as a linked text must share one of."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in slices(batches, "text"):
+            for s in sets_of(batch.column("text")):
+                np.add.at(cells, (s % np.uint64(CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    often = np.zeros(CELLS, np.int64)
+    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in slices(batches, "text"):
+            ids, keys = [], []
+            for i, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
+                if len(s):
+                    most = len(s) - -(-percent * len(s) // 100) + 1
+                    keys.append(s[np.lexsort((s, known[(s % np.uint64(CELLS)).astype(np.int64)]))[:most]])
+                    ids.append(np.full(len(keys[-1]), i, np.int64))
+            flat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(flat(ids, np.int64)), pa.array(flat(keys, np.uint64).view(np.int64))], names=["id", "key"])
+
+    return texts.select("doc_id", "text").mapInArrow(first, "id long, key long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +232,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     component_id is the smallest doc_id reachable over links, itself included;
     kept marks it.  Null and empty texts, and rows without an id, link with
     nothing and stay.  Rows that repeat a doc_id are one document; all of them
-    get its component.  An empty table gives no rows.
+    get its component.  Texts of any length are taken whole.  Other columns are
+    ignored whatever their names; an empty table gives no rows.  doc_id has to
+    be an integer column.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}; components are told by integer ids")
     small_batches(docs.sparkSession)
     marked = materialise(sketches(docs, text))
     members = marked.where("n_shingles > 0 and doc_id is not null")
@@ -196,23 +247,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     linked = members.select("doc_id", "k0", "k1").join(classes.select("k0", "k1", "id"), ["k0", "k1"])
     same = linked.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    buckets = classes.select("id", F.explode("bands").alias("key"))
-    pivots = materialise(buckets.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b"))
-    buckets = materialise(buckets.join(pivots, "key"))
+    buckets = _with_ends(classes.select("id", F.explode("bands").alias("key")))
     ids = buckets.select("id").distinct()
     slim = materialise(classes.select("id", *_SKETCH).join(ids, "id", "left_semi"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = materialise(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
-
-    # members of a bucket against its smallest id
-    first = buckets.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    first = first.join(_side(slim, "a"), "a").join(_side(slim, "b"), "b").where(_plausible(percent))
-    links = materialise(confirm(first, texts, percent))
-    # across components: the nearest of each, then all
-    found = _between(slim, buckets, connected_components(links), percent)
-    nearest = found.groupBy("a", "part_b").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = materialise(links.unionByName(confirm(nearest, texts, percent)))
-    rest = confirm(_between(slim, buckets, connected_components(links), percent), texts, percent)
+    hot = buckets.where(F.col("n") > HOT).select(F.col("id").alias("doc_id")).distinct()
+    if not hot.isEmpty():
+        dealt = _with_ends(rare_prefixes(texts.join(hot, "doc_id", "left_semi"), percent).distinct())
+        buckets = materialise(buckets.where(F.col("n") <= HOT).unionByName(dealt))
+
+    # members of a bucket against its ends
+    first = buckets.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    links = materialise(confirm(_plausible_pairs(first, slim, percent), texts, percent))
+    # across components
+    rest = materialise(confirm(_plausible_pairs(_between(buckets, connected_components(links)), slim, percent), texts, percent))
 
     whole = connected_components(links.unionByName(rest).unionByName(same))
     out = marked.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 
 from bulwark.llm.components import connected_components
-from bulwark.llm.near_duplicates import minhash, near_duplicates, odd_sketch, parity, sets_of
+from bulwark.llm import near_duplicates as N
+from bulwark.llm.near_duplicates import minhash, near_duplicates, odd_sketch, parity, rare_prefixes, sets_of
 
 WORD = __import__("re").compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,6 +61,31 @@ def test_matches_brute_force(spark, documents, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_buckets_dealt_by_rare_shingles_lose_nothing(spark, documents, monkeypatch, hot):
+    monkeypatch.setattr(N, "HOT", hot)
+    texts = corpus(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(documents(texts).withColumnRenamed("source", "component_id")).collect()}
+    assert got == brute(texts)
+
+
+def test_documents_that_share_a_passage_do_not_meet(spark, documents):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    passage = [rng.choice(words) for _ in range(300)]
+    texts = [" ".join(passage + [rng.choice(words) for _ in range(100)]) for _ in range(400)]
+    texts += [t.replace("w1 ", "x ") for t in texts[:3]]
+    keys = rare_prefixes(documents(texts).select("doc_id", "text")).groupBy("key").count().where("count > 1")
+    assert keys.selectExpr("sum(count * (count - 1) / 2)").first()[0] < 2000  # of 81,000 pairs
+    rows = near_duplicates(documents(texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i if i < 400 else i - 400 for i in range(403)}
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("x", "a b c")], "doc_id string, text string"))
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, documents):
     t = "a b c d e f g h i j"
     rows = near_duplicates(documents([t, t, "z y x w v u", t], ids=[5, None, 7, 5])).collect()
