@@ -52,7 +52,7 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes one pattern match at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.max_states = max_states
@@ -187,7 +187,7 @@ class Transducer:
 class ByteBPE:
     """Encoder of whole texts; words met lately are kept, between ``max_words`` and twice as many."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 400_000):
         self.fst = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_words = max_words
@@ -196,6 +196,9 @@ class ByteBPE:
         size = max(self.fst.token, default=-1) + 1
         self.token = [self.fst.token.get(i, b"") for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
+        #: What each token does in each state of the decoder; few states but the empty one are met with many tokens.
+        self.decoding: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        self.alone = Alone(self.token)
 
     def words(self, text: str) -> list[tuple[int, ...]]:
         """Ids of each match of the pattern."""
@@ -221,84 +224,138 @@ class ByteBPE:
         return list(chain.from_iterable(self.words(text)))
 
 
-# Byte classes and transitions of the UTF-8 automaton (Unicode standard, table 3-7): fixed values.
+# Well-formed byte sequences of UTF-8 (Unicode standard, table 3-7): first byte, bytes to follow, range of the next one: fixed values.
 _LEAD = (
     (0x00, 0x7F, 0, 0x80, 0xBF), (0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF),
     (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF),
     (0xF4, 0xF4, 3, 0x80, 0x8F),
 )
+REPLACEMENT = "\ufffd"
 
 
 class Utf8Decoder:
-    """Streaming decoder: feed tokens, get the text that is complete so far."""
+    """Streaming decoder: feed ids, get the text that is complete so far.
 
-    def __init__(self, tokens: Sequence[bytes]):
+    The automaton's states are the unfinished characters that can be held (empty,
+    or one to three bytes).  ``step`` runs its bytes through the automaton;
+    ``tables`` keeps what a token does in a state, so that a token costs one
+    lookup once it has been met there.
+    """
+
+    START = b""
+
+    def __init__(self, tokens: Sequence[bytes], tables: dict[tuple[bytes, int], tuple[bytes, str]] | None = None, alone: Alone | None = None):
         self.tokens = tokens
-        self.lead = {b: (need, low, high) for a, z, need, low, high in _LEAD for b in range(a, z + 1)}
-        self.held = b""
-        self.state = (0, 0x80, 0xBF)
-
-    def feed(self, ids: Iterable[int]) -> tuple[bytes, str]:
-        """(bytes of the ids, text completed by them)."""
-        data = b"".join(map(self.tokens.__getitem__, ids))
-        ready = self.held + data
-        # the state machine only has to look at the last, possibly unfinished character
-        keep, self.state = self._open(ready)
-        self.held = ready[len(ready) - keep :] if keep else b""
-        return data, ready[: len(ready) - keep].decode("utf-8", "replace")
-
-    def _open(self, data: bytes) -> tuple[int, tuple[int, int, int]]:
-        for back in range(1, min(4, len(data) + 1)):
-            b = data[-back]
-            if b & 0xC0 != 0x80:
-                need, low, high = self.lead.get(b, (0, 0, 0))
-                if need < back:
-                    return 0, (0, 0x80, 0xBF)
-                for c in data[len(data) - back + 1 :]:
-                    if not low <= c <= high:
-                        return 0, (0, 0x80, 0xBF)
-                    need, low, high = need - 1, 0x80, 0xBF
-                return back, (need, low, high)
-        return 0, (0, 0x80, 0xBF)
+        self.tables = {} if tables is None else tables
+        self.alone = Alone(tokens) if alone is None else alone
+        self.state = self.START
+
+    _FIRST = {b: (need, low, high) for a, z, need, low, high in _LEAD for b in range(a, z + 1)}
+
+    @classmethod
+    def step(cls, state: bytes, data: bytes) -> tuple[bytes, str]:
+        """(state after the bytes, text they complete); each maximal ill-formed part becomes U+FFFD."""
+        out: list[str] = []
+        need, low, high, held = 0, 0x80, 0xBF, b""
+        for byte in state + data:
+            if need and not low <= byte <= high:
+                out.append(REPLACEMENT)
+                need, held = 0, b""
+            if need:
+                held += bytes((byte,))
+                need, low, high = need - 1, 0x80, 0xBF
+            else:
+                need, low, high = cls._FIRST.get(byte, (-1, 0x80, 0xBF))
+                held = bytes((byte,))
+            if need < 0:
+                out.append(REPLACEMENT)
+                need, held = 0, b""
+            elif need == 0:
+                out.append(held.decode())
+                held = b""
+        return held, "".join(out)
+
+    def move(self, state: bytes, i: int) -> tuple[bytes, str]:
+        found = self.tables.get((state, i))
+        if found is None:
+            if len(self.tables) > 4 * len(self.tokens):
+                self.tables.clear()
+            found = self.tables[state, i] = self.step(state, self.tokens[i])
+        return found
+
+    def feed(self, ids: Sequence[int]) -> str:
+        at, state = 0, self.state
+        out: list[str | None] = list(map(self.alone.__getitem__, ids))
+        while True:
+            if not state:
+                # tokens that begin and end between characters, up to the next one that doesn't
+                try:
+                    at = out.index(None, at)
+                except ValueError:
+                    break
+            elif at == len(ids):
+                break
+            state, out[at] = self.move(state, ids[at])
+            at += 1
+        self.state = state
+        return "".join(out)
 
     def finish(self) -> str:
-        text, self.held = self.held.decode("utf-8", "replace"), b""
+        """What is left of an unfinished character at the end."""
+        text, self.state = (REPLACEMENT if self.state else ""), self.START
         return text
 
 
+class Alone(dict):
+    """Text of each token that leads the automaton from its start back to it; None for others."""
+
+    def __init__(self, tokens: Sequence[bytes]):
+        super().__init__()
+        self.tokens = tokens
+
+    def __missing__(self, i: int) -> str | None:
+        state, text = Utf8Decoder.step(b"", self.tokens[i])
+        found = self[i] = None if state else text
+        return found
+
+
 def decode_bytes(tokens: Sequence[bytes], ids: Iterable[int]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
 _WORKER: dict[int, ByteBPE] = {}
-_TIMER: list[threading.Timer] = []
+_IDLE: list[threading.Timer] = []
+_LOCK = threading.Lock()
 #: Seconds for which an idle Python worker keeps its codec; tasks of one stage follow each other faster.
 IDLE_SECONDS = 4.0
 
 
 def worker_codec(ranks_file: bytes, pattern: str) -> ByteBPE:
-    """One codec per Python worker and vocabulary, kept between tasks."""
-    while _TIMER:
-        _TIMER.pop().cancel()
+    """One codec per Python worker and vocabulary, kept between tasks; a task holds it by the reference it gets here."""
     key = hash((ranks_file, pattern))
-    if key not in _WORKER:
+    with _LOCK:
+        while _IDLE:
+            _IDLE.pop().cancel()
+        codec = _WORKER.get(key)
+        if codec is None:
+            _WORKER.clear()
+            codec = _WORKER[key] = ByteBPE(load_ranks(ranks_file), pattern)
+        return codec
+
+
+def _forget() -> None:
+    with _LOCK:
         _WORKER.clear()
-        _WORKER[key] = ByteBPE(load_ranks(ranks_file), pattern)
-    return _WORKER[key]
-
-
-def _drop() -> None:
-    _WORKER.clear()
     gc.collect()
     give_back()
 
 
-def drop_when_idle() -> None:
+def forget_when_idle() -> None:
     """Called at the end of a task: without a next one, the worker's tables go."""
-    timer = threading.Timer(IDLE_SECONDS, _drop)
-    timer.daemon = True
-    _TIMER.append(timer)
-    timer.start()
+    with _LOCK:
+        _IDLE.append(threading.Timer(IDLE_SECONDS, _forget))
+        _IDLE[-1].daemon = True
+        _IDLE[-1].start()
 
 
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str = "text", tokens: bool = True) -> DataFrame:
@@ -307,8 +364,10 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str
     Adds n_tokens, ids_sha256 (of the decimal ids joined by a space),
     decoded_sha256 (of the decoded bytes), valid_utf8 (the decoder met no
     ill-formed byte) and, with ``tokens``, the ids themselves.  Columns of these
-    names in ``docs`` are replaced.  Null and empty texts give no ids.  The rank
-    file (bounded by the vocabulary) goes to the executors as a broadcast.
+    names in ``docs`` are replaced.  Null and empty texts give no ids, repeated
+    rows one result each, an empty table none; a text of any length is encoded
+    whole.  The rank file (bounded by the vocabulary) goes to the executors as a
+    broadcast.
     """
     added = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("valid_utf8", "boolean")] + [("token_ids", "array<int>")] * tokens
     small_batches(docs.sparkSession)
@@ -319,28 +378,29 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shared.value, pattern)
-        vocabulary = codec.token
         for batch in slices(batches, text):
             counts, ids_sha, back_sha, valid, lists = [], [], [], [], []
             for value in batch.column(text).to_pylist():
                 ids = codec.encode(value or "")
-                decoder = Utf8Decoder(vocabulary)
+                decoder = Utf8Decoder(codec.token, codec.decoding, codec.alone)
                 digest, good = hashlib.sha256(), True
                 for k in range(0, len(ids), 4096):
-                    data, piece = decoder.feed(ids[k : k + 4096])
-                    digest.update(data)
-                    good = good and "�" not in piece
-                good = not decoder.finish() and good
+                    piece = decoder.feed(ids[k : k + 4096])
+                    digest.update(piece.encode())
+                    good = good and REPLACEMENT not in piece
+                rest = decoder.finish()
+                digest.update(rest.encode())
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
                 back_sha.append(digest.hexdigest())
-                valid.append(good or "�" in (value or ""))
+                valid.append((good and not rest) or REPLACEMENT in (value or ""))
                 if tokens:
                     lists.append(ids)
             columns = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), pa.array(valid, pa.bool_())]
             if tokens:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *dict(added)])
-        drop_when_idle()
+        del codec
+        forget_when_idle()
 
     return source.mapInArrow(run, schema)

@@ -47,7 +47,7 @@ def test_streaming_decoder_splits_anywhere(codec):
     for t in texts()[:300]:
         ids = codec.encode(t)
         d = Utf8Decoder(codec.token)
-        got = "".join(d.feed([i])[1] for i in ids) + d.finish()
+        got = "".join(d.feed([i]) for i in ids) + d.finish()
         assert got == t
 
 
@@ -55,7 +55,18 @@ def test_decoder_replaces_ill_formed_bytes():
     tokens = [bytes([b]) for b in range(256)]
     for data in (b"\xff", b"a\xe4\xb8", b"\xc0\x80", b"\xed\xa0\x80", b"\xf0\x9f\x98x", b"\xe4\xb8\xad\x80"):
         d = Utf8Decoder(tokens)
-        assert "".join(d.feed([b])[1] for b in data) + d.finish() == data.decode("utf-8", "replace")
+        assert "".join(d.feed([b]) for b in data) + d.finish() == data.decode("utf-8", "replace")
+        whole = Utf8Decoder([data])
+        assert whole.feed([0]) + whole.finish() == data.decode("utf-8", "replace")
+
+
+def test_decoder_matches_on_random_bytes():
+    rng = random.Random(4)
+    some = [0x41, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC1, 0xC2, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for _ in range(2000):
+        parts = [bytes(rng.choice(some) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5))]
+        d = Utf8Decoder(parts)
+        assert d.feed(range(len(parts))) + d.finish() == b"".join(parts).decode("utf-8", "replace")
 
 
 def test_query_columns(spark, documents):
