@@ -6,7 +6,6 @@ import pytest
 
 from bulwark.llm import kneser_ney as K
 from bulwark.llm import pseudo_likelihood as L
-from bulwark.llm.common import training_labels
 
 
 def corpus(n=240):
@@ -69,8 +68,8 @@ def test_held_out_toxicity(spark, documents):
     texts, labels = corpus()
     docs = documents([*texts, None, "", "idiot " * 3])
     table = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
-    model = K.train(docs, training_labels(table, "toxic", 500))
-    rows = {r["doc_id"]: r["score"] for r in K.score(docs, model).collect()}
+    model = K.train(docs.withColumnRenamed("lang", "score"), table, "toxic")
+    rows = {r["doc_id"]: r["score"] for r in K.score(docs.withColumnRenamed("lang", "score"), model).collect()}
     assert len(rows) == len(texts) + 3 and all(0 <= s <= 1 for s in rows.values())
     assert np.mean([(rows[i] >= 0.3) == y for i, y in enumerate(labels)]) > 0.97
     assert rows[len(texts) + 2] > 0.5 and rows[len(texts)] < 0.3
