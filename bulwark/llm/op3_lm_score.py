@@ -15,4 +15,4 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = score(docs, train(docs), keep=["doc_id"])
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
-    return out.select("doc_id", "n_words", F.round("log_likelihood", 3).alias("log_likelihood"), F.round(mean, 5).alias("mean_log_likelihood"))
+    return out.select("doc_id", "n_words", F.round("log_likelihood", 2).alias("log_likelihood"), F.round(mean, 4).alias("mean_log_likelihood"), "n_unseen")

@@ -86,10 +86,10 @@ def test_lookup_finds_every_key_and_nothing_else():
 
 
 def test_contexts_stay_inside_texts():
-    token, first = L.tokens(pa.array(["a b c", "d", None, "e f"], pa.string()))
-    ctx = L.contexts(token, first)
-    assert first.tolist() == [0, 3, 4, 4, 6]
-    assert (ctx[3] == 0).all() and (ctx[0, :2] == 0).all() and ctx[0, 2] > 0 and ctx[4, 2] > 0 and ctx[4, 1] == 0
+    token, ending, first = L.tokens(pa.array(["a b c", "d", None, "e f."], pa.string()))
+    ctx = L.around(np.arange(1, len(token) + 1), first)
+    assert first.tolist() == [0, 3, 4, 4, 6] and ending[4] == (ord("e") + 1) * 257 and ending[5] == (ord("f") + 1) * 257
+    assert (ctx[3] == 0).all() and ctx[0].tolist() == [0, 0, 0, 2, 3, 0] and ctx[4].tolist() == [0, 0, 0, 6, 0, 0]
 
 
 def test_gradient_matches_differences():
@@ -111,34 +111,74 @@ def test_gradient_matches_differences():
 def test_order_matters_to_the_score(spark, documents):
     rng = random.Random(0)
     phrase = "the cat sat on a mat and then it ran to her door".split()
-    texts = [" ".join(phrase * rng.randint(3, 8)) for _ in range(300)]
+    texts = [" ".join(phrase * rng.randint(3, 8)) + f" end{i}" for i in range(300)]
     shuffled = []
     for t in texts[:30]:
         w = t.split()
         rng.shuffle(w)
         shuffled.append(" ".join(w))
-    model = L.train(documents(texts * 4))
+    model = L.train(documents(texts * 2))
     mean = lambda ts: np.mean([r["log_likelihood"] / r["n_words"] for r in L.score(documents(ts), model).collect()])
     assert mean(texts[:30]) > mean(shuffled) + 0.3
-    rows = {r["doc_id"]: r for r in L.score(documents([None, "", "cat"]), model).collect()}
+    rows = {r["doc_id"]: r for r in L.score(documents([None, "", "cat"]).withColumnRenamed("lang", "n_unseen"), model).collect()}
     assert rows[0]["n_words"] == rows[1]["n_words"] == 0 and rows[0]["log_likelihood"] == 0 and rows[2]["log_likelihood"] < 0
     assert L.train(documents(texts).limit(0)).counts.sum() == 0
 
 
+def by_brute_force(model, corpus, text):
+    """(sum of log-probabilities, words no other text has), word by word."""
+    known, net = model.vocabulary, L.Network(model.flat)
+    hash_of = lambda w: L.tokens(pa.array([w], pa.string()))
+    counted = [w for t in corpus for w in (t or "").lower().split()]
+    mine = text.lower().split()
+    rank = {w: int(known.ranks(hash_of(w)[0])[0]) for w in {*counted, *mine}}
+    ending = {w: hash_of(w)[1] for w in rank}
+    cls = {w: int(known.classes(np.array([rank[w]]), ending[w])[0]) for w in rank}
+    ids = [int(known.inputs(np.array([rank[w]]), ending[w])[0]) for w in mine]
+    n, total = {w: counted.count(w) for w in rank}, np.zeros(L.CLASSES)
+    types = np.ones(L.CLASSES)
+    for w in set(counted):
+        total[cls[w]] += n[w]
+        types[cls[w]] += 1
+    out = unseen = 0
+    for i, w in enumerate(mine):
+        ctx = [ids[i + d] if 0 <= i + d < len(mine) else 0 for d in (-3, -2, -1, 1, 2, 3)]
+        x = np.concatenate([net.embed[c] for c in ctx]).astype(float)
+        z = np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2
+        own, own_class = mine.count(w), sum(cls[v] == cls[w] for v in mine)
+        p = np.exp(z[cls[w]]) / np.exp(z).sum() * (max(n[w] - own, 0) + L.ADDED) / (max(total[cls[w]] - own_class, 0) + L.ADDED * types[cls[w]])
+        out += np.log(p)
+        unseen += n[w] <= own
+    return out, unseen
+
+
 @pytest.mark.parametrize("frequent", [4, 1 << 16])
-def test_every_word_has_its_own_count(spark, documents, monkeypatch, frequent):
-    monkeypatch.setattr(L, "FREQUENT", frequent, raising=False)
-    words = [f"w{i}" for i in range(3000)]
-    low = L.tokens(pa.array(words, pa.string()))[0] % (1 << 18)
-    values, at, times = np.unique(low, return_index=True, return_counts=True)
-    value = values[times > 1][0]
-    a, b = (words[i] for i in np.flatnonzero(low == value)[:2])  # one bucket of 2^18, two words
-    docs = documents(["the of and to in " * 40, f"{a} " * 30, b])
-    model = L.train(docs)
-    assert model.counts.sum() == 231
-    counted = {r["h"]: r["n"] for r in model.words.collect()}
-    assert sorted(counted.values()) == [1, 30, 40, 40, 40, 40, 40]
-    one = {r["doc_id"]: r["log_likelihood"] for r in L.score(documents([a, b, "never"]), model).collect()}
-    assert one[0] != one[1]
-    if frequent == 4:  # both in the class of rare words, whose counts are joined
-        assert one[0] - one[1] == pytest.approx(np.log(31 / 2)) and one[1] - one[2] == pytest.approx(np.log(2))
+def test_scores_match_brute_force_at_any_partitioning(spark, documents, monkeypatch, frequent):
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "SHARD_WORDS", 900)
+    monkeypatch.setattr(L, "CHUNK_WORDS", 200)
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("re", "tion", "wor", "da") for b in ("s", "ing", "ed,", "e", "Y", "", "12")]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.9 else f"only{rng.randint(0, 200)}" for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    texts += [texts[0], texts[1], "alone here forever", None, ""]
+    docs = documents(texts)
+    model, other = L.train(docs.repartition(2)), L.train(docs.repartition(11, "text"))
+    assert np.array_equal(model.flat, other.flat) and model.counts.sum() == sum(len((t or "").split()) for t in texts)
+    rows = {r["doc_id"]: r for r in L.score(docs.repartition(5), other).collect()}
+    assert len(rows) == len(texts)
+    for i in (0, 1, 5, 9, 62):
+        want, unseen = by_brute_force(model, texts, texts[i])
+        assert rows[i]["log_likelihood"] == pytest.approx(want, abs=2e-3) and rows[i]["n_unseen"] == unseen
+    assert rows[0]["n_unseen"] == 0 and rows[62]["n_unseen"] == 3
+
+
+def test_both_sides_beat_unigrams(spark, documents):
+    rng = random.Random(1)
+    tongues = [[f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{k}{e}" for k in range(60)] for e in ("th", "ion", "ich", "os")]
+    texts = [" ".join(rng.choice(t) for _ in range(120)) for t in tongues for _ in range(60)]
+    docs = documents(texts)
+    rows = L.score(docs, L.train(docs)).collect()
+    words = [w for t in texts for w in t.split()]
+    unigram = np.mean([np.log(words.count(w) / len(words)) for w in set(words) for _ in range(words.count(w))])
+    mean = sum(r["log_likelihood"] for r in rows) / sum(r["n_words"] for r in rows)
+    assert mean > unigram + 0.8  # log 4 is what the language says
