@@ -7,7 +7,9 @@ Rules are independent given the class, and expectation-maximisation estimates
 for every rule how often it votes what in every class, i.e. its accuracies.  As
 each kind of fault is a class of its own, rules of one kind may agree as often
 as they like without being taken for independent evidence against the good
-class, and a kind that few rules see doesn't drift into it.
+class, and a kind that few rules see doesn't drift into it.  A document can only
+have a fault of which a rule of that kind accuses it; so where faults are rare,
+their classes don't take in clean documents.
 
 A text is kept when its posterior probability of being good reaches the
 threshold: a bad vote that the other votes of its kind contradict does not
@@ -35,8 +37,10 @@ KINDS = ("symbols", "repetition", "shouting", "fragments")
 #: Counts that are added per (rule, class, vote), in the order bad, abstain, good: a rule that watches for the
 #: class's own fault, and any other rule (all of them in the good class).
 OWN, OTHER = (2.0, 0.5, 0.5), (0.25, 0.5, 2.0)
-#: Start: weight of the good class with no bad vote and with any, and of a kind per bad vote of its rules (and without one).
-START_CLEAN, START_ACCUSED, START_VOTE, START_NONE = 1.0, 0.1, 1.0, 0.01
+#: Start: weights of the good class, and of a kind for each bad vote of its rules, with one bad vote (or none) and with more.
+START_GOOD, START_FAULT = (1.0, 0.1), (0.3, 1.0)
+#: Log-likelihood of a kind none of whose rules accuses.
+NEVER = -1000.0
 THRESHOLD = 0.5
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_again", "n_single",
@@ -143,12 +147,16 @@ class VoteModel:
 
     log_prior: tuple[float, ...]
     log_share: tuple[tuple[tuple[float, ...], ...], ...]
+    rules: tuple[Rule, ...] = RULES
 
     def posterior(self, votes: list[Column]) -> Column:
         fits = []
         for k, prior in enumerate(self.log_prior):
             shares = [F.get(F.lit([float(x[k]) for x in share]), vote) for vote, share in zip(votes, self.log_share, strict=True)]
             fits.append(sum(shares, F.lit(float(prior))))
+            if k:
+                accused = [vote == 0 for vote, rule in zip(votes, self.rules, strict=True) if rule.kind == KINDS[k - 1]]
+                fits[k] = F.when(F.array_contains(F.array(*accused), True), fits[k]).otherwise(NEVER) if accused else F.lit(NEVER)
         return 1 / (1 + sum((F.exp(f - fits[0]) for f in fits[1:]), F.lit(0.0)))
 
 
@@ -164,17 +172,18 @@ def _fit_sql(rules: tuple[Rule, ...], rounds: int) -> str:
     whole = sum(OWN), sum(OTHER)
     wholes = f"array({', '.join(f'{whole[0] if r.kind == k else whole[1]}D' for r in rules for k in (None, *KINDS))})"
     kinds = f"array({', '.join(str(KINDS.index(r.kind) + 1) for r in rules)})"
-    start = f"""transform(cells, p -> named_struct('v', p.v, 'n', p.n, 'w', transform(sequence(0, {many - 1}), k -> if(k = 0,
- if(array_contains(p.v, 0), {START_ACCUSED}D, {START_CLEAN}D),
- {START_NONE}D + aggregate(sequence(0, {len(rules) - 1}), 0D, (a, j) -> a + if(p.v[j] = 0 and {kinds}[j] = k, {START_VOTE}D, 0D))))))"""
-    scaled = lambda s: f"transform({s}, p -> named_struct('v', p.v, 'n', p.n, 'w', transform(p.w, x -> x / aggregate(p.w, 0D, (a, y) -> a + y))))"
+    mine = f"aggregate(sequence(0, {len(rules) - 1}), 0D, (a, j) -> a + if(p.v[j] = 0 and {kinds}[j] = k, 1D, 0D))"
+    many_votes = "size(filter(p.v, x -> x = 0)) > 1"
+    start = f"""transform(cells, p -> named_struct('v', p.v, 'n', p.n, 'm', transform(sequence(0, {many - 1}), k -> if(k = 0 or {mine} > 0, 0D, {NEVER}D)),
+ 'w', transform(sequence(0, {many - 1}), k -> if(k = 0, if({many_votes}, {START_GOOD[1]}D, {START_GOOD[0]}D), if({many_votes}, {START_FAULT[1]}D, {START_FAULT[0]}D) * {mine}))))"""
+    scaled = lambda s: f"transform({s}, p -> named_struct('v', p.v, 'n', p.n, 'm', p.m, 'w', transform(p.w, x -> x / aggregate(p.w, 0D, (a, y) -> a + y))))"
     sums = f"""named_struct('t', transform(sequence(0, {many - 1}), k -> aggregate(s, 0D, (a, p) -> a + p.n * p.w[k])),
  'c', transform(sequence(0, {len(rules) * wide - 1}), c -> aggregate(s, 0D, (a, p) -> a + if(p.v[int(c div {wide})] = int(c div {many}) % 3, p.n * p.w[c % {many}], 0D))))"""
     logs = f"""named_struct('p', transform(m.t, t -> ln((t + 1) / (aggregate(m.t, 0D, (a, y) -> a + y) + {many}))),
  'l', transform(m.c, (x, c) -> ln((x + {added}[c]) / (m.t[c % {many}] + {wholes}[int(c div {wide}) * {many} + c % {many}]))))"""
-    fits = f"transform(g.p, (x, k) -> aggregate(sequence(0, {len(rules) - 1}), x, (a, j) -> a + g.l[j * {wide} + p.v[j] * {many} + k]))"
+    fits = f"transform(g.p, (x, k) -> aggregate(sequence(0, {len(rules) - 1}), x + p.m[k], (a, j) -> a + g.l[j * {wide} + p.v[j] * {many} + k]))"
     soft = f"transform(array({fits}), f -> transform(f, x -> exp(x - array_max(f))))[0]"
-    step = f"transform(array({logs}), g -> transform(s, p -> named_struct('v', p.v, 'n', p.n, 'w', {soft})))[0]"
+    step = f"transform(array({logs}), g -> transform(s, p -> named_struct('v', p.v, 'n', p.n, 'm', p.m, 'w', {soft})))[0]"
     settled = f"aggregate(sequence(1, {rounds}), {scaled(start)}, (s, i) -> transform(array({sums}), m -> {scaled(step)})[0])"
     return f"transform(array({settled}), s -> transform(array({sums}), m -> {logs})[0])[0]"
 
@@ -185,7 +194,7 @@ def fit(counts: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS
     model = votes.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("cells")).select(F.expr(_fit_sql(rules, rounds)).alias("m")).first()["m"]
     many = len(KINDS) + 1
     shares = tuple(tuple(tuple(model["l"][(3 * j + v) * many : (3 * j + v + 1) * many]) for v in range(3)) for j in range(len(rules)))
-    return VoteModel(tuple(model["p"]), shares)
+    return VoteModel(tuple(model["p"]), shares, rules)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
@@ -232,22 +241,22 @@ q_patterns as materialized (select row_number() over () as pid, {", ".join(names
 q_long as materialized ({" union all ".join(f"select pid, n, {j} as r, {n} as v from q_patterns" for j, n in enumerate(names))}),
 q_own(r, kind) as (values {own}),
 q_added(r, v, k, x, whole) as (values {added}),
-q_start as (select pid, k, case when k = 0 then case when bad > 0 then {START_ACCUSED} else {START_CLEAN} end else {START_NONE} + {START_VOTE} * mine end as w
- from (select pid, k, sum((v = 0)::int) as bad, sum((v = 0 and kind = k)::int) as mine from q_long join q_own using (r), range({len(KINDS) + 1}) t(k) group by pid, k)),
+q_mine as materialized (select pid, k, sum((v = 0)::int) as bad, sum((v = 0 and kind = k)::int) as mine from q_long join q_own using (r), range({len(KINDS) + 1}) t(k) group by pid, k),
+q_start as (select pid, k, case when k = 0 then case when bad > 1 then {START_GOOD[1]} else {START_GOOD[0]} end else case when bad > 1 then {START_FAULT[1]} else {START_FAULT[0]} end * mine end as w from q_mine),
 q_w0 as materialized (select pid, k, w::double / sum(w) over (partition by pid) as w from q_start)"""
     ]
     for t in range(rounds):
         parts.append(f"q_t{t} as materialized (select k, sum(n * w) as t from q_w{t} join q_patterns using (pid) group by k)")
         parts.append(f"q_c{t} as materialized (select r, v, k, sum(n * w) as c from q_long join q_w{t} using (pid) group by r, v, k)")
-        parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1}))) as f
- from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) group by pid, k)""")
+        parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1})) + case when k > 0 and mine = 0 then {NEVER} else 0 end) as f
+ from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) join q_mine using (pid, k) group by pid, k)""")
         parts.append(f"q_w{t + 1} as materialized (select pid, k, exp(f - top) / sum(exp(f - top)) over (partition by pid) as w from (select *, max(f) over (partition by pid) as top from q_f{t}))")
     # the model of the last round is applied once more, to the documents
     t = rounds
     parts.append(f"q_t{t} as materialized (select k, sum(n * w) as t from q_w{t} join q_patterns using (pid) group by k)")
     parts.append(f"q_c{t} as materialized (select r, v, k, sum(n * w) as c from q_long join q_w{t} using (pid) group by r, v, k)")
-    parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1}))) as f
- from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) group by pid, k)""")
+    parts.append(f"""q_f{t} as materialized (select pid, k, sum(ln((c + x) / (t + whole))) + any_value(ln((t + 1) / ((select sum(t) from q_t{t}) + {len(KINDS) + 1})) + case when k > 0 and mine = 0 then {NEVER} else 0 end) as f
+ from q_long join q_c{t} using (r, v) join q_added using (r, v, k) join q_t{t} using (k) join q_mine using (pid, k) group by pid, k)""")
     parts.append(f"q_good as materialized (select pid, 1 / sum(exp(f - good)) as g from (select *, max(f) filter (k = 0) over (partition by pid) as good from q_f{t}) group by pid)")
     parts.append(
         f"""judged as (select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bulwark.llm import nbsvm
 from bulwark.llm.common import held_out, labelled_texts, training_labels
-from bulwark.llm.quality_rules import KINDS, OTHER, OWN, ROUNDS, RULES, START_ACCUSED, START_CLEAN, START_NONE, START_VOTE, fit, judge, with_counts
+from bulwark.llm.quality_rules import KINDS, NEVER, OTHER, OWN, ROUNDS, RULES, START_FAULT, START_GOOD, fit, judge, with_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,14 +60,16 @@ def test_votes_keep_clean_and_drop_bad_texts(spark, documents):
 def em_by_rows(votes, rounds=ROUNDS):
     """Posterior of the good class: the same model on one row per document."""
     kinds = np.array([KINDS.index(r.kind) + 1 for r in RULES])
-    w = np.full((len(votes), len(KINDS) + 1), START_NONE)
-    for k in range(1, len(KINDS) + 1):
-        w[:, k] += START_VOTE * (votes[:, kinds == k] == 0).sum(axis=1)
-    w[:, 0] = np.where((votes == 0).any(axis=1), START_ACCUSED, START_CLEAN)
+    many = ((votes == 0).sum(axis=1) > 1).astype(int)
+    mine = np.stack([(votes[:, kinds == k] == 0).sum(axis=1) for k in range(len(KINDS) + 1)], axis=1)
+    w = np.array(START_FAULT)[many][:, None] * mine
+    w[:, 0] = np.array(START_GOOD)[many]
+    never = np.where(mine > 0, 0.0, NEVER)
+    never[:, 0] = 0.0
     w /= w.sum(axis=1, keepdims=True)
     for _ in range(rounds + 1):
         total = w.sum(axis=0)
-        fits = np.tile(np.log((total + 1) / (total.sum() + len(total))), (len(votes), 1))
+        fits = never + np.log((total + 1) / (total.sum() + len(total)))
         for j in range(len(RULES)):
             for k in range(len(total)):
                 added = OWN if kinds[j] == k else OTHER
@@ -90,12 +92,20 @@ def test_posterior_outweighs_single_votes():
     """One bad vote that its kind contradicts does not decide, and two that agree do."""
     rng = np.random.default_rng(0)
     votes = np.full((600, len(RULES)), 2)
-    votes[500:560, :2], votes[560:, 7] = 0, 0  # symbols and long words; single letters
+    votes[500:560, :2] = 0  # symbols and long words
+    votes[560:, 0] = votes[560:, 7] = 0  # symbols and single letters
     votes[rng.integers(0, 500, 4), 3] = 0
     kept = em_by_rows(votes) >= 0.5
     assert kept[:500].all() and not kept[500:].any()
 
 
+def test_clean_documents_stay_where_faults_are_rare():
+    rng = np.random.default_rng(1)
+    votes = rng.choice([1, 2, 2, 2], (3000, len(RULES)))
+    votes[rng.integers(0, 3000, 20), rng.integers(0, len(RULES), 20)] = 0
+    assert (em_by_rows(votes) >= 0.5)[(votes == 0).sum(axis=1) == 0].all()
+
+
 def test_sample_takes_one_text_per_id(spark, documents):
     docs = documents(["a b", "c d", "c d", None, "e" * 50, "f"], ids=[1, 2, 2, 3, 4, 2])
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
