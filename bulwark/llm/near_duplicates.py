@@ -17,8 +17,8 @@ members outside a bucket's largest component are held against its members of
 other components, so that no link between components stays unseen.
 
 Documents that share a long passage without being alike meet in large buckets,
-all in components of their own.  Members of buckets above ``HOT`` are therefore
-dealt anew by prefix filtering, which is exact: under one order of all shingles,
+all in components of their own.  Members of buckets above ``HOT`` that hold several
+components are therefore dealt anew by prefix filtering, which is exact: under one order of all shingles,
 rarest first, two linked sets share one of their first n - ceil(0.85 n) + 1
 shingles.  Shared passages are frequent and come last, so they bring nobody
 together.  The order follows counts in ``CELLS`` cells (it decides about cost
@@ -152,22 +152,26 @@ _SKETCH = ("n_shingles", "odd", "parity")
 _SHORT = {"n_shingles": "n", "odd": "odd", "parity": "parity"}
 
 
-def _plausible_pairs(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the sketches do not rule out."""
-    side = lambda s: slim.select(F.col("id").alias(s), *[F.col(c).alias(f"{_SHORT[c]}_{s}") for c in _SKETCH])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible(percent)).select("a", "b")
+def _side(frame: DataFrame, s: str, *more: str) -> DataFrame:
+    return frame.select(*more, F.col("id").alias(s), *[F.col(c).alias(f"{_SHORT[c]}_{s}") for c in _SKETCH])
 
 
-def _between(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): members of one bucket but different components; a is outside the bucket's largest."""
-    at = buckets.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    tally = at.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = tally.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("main"))
-    mixed = materialise(at.join(materialise(largest), "key"))
-    minor = mixed.where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
-    every = mixed.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), "main")
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members (key, id, ...) of buckets with several components, with their part and the bucket's largest one, main."""
+    at = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    tally = at.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    largest = tally.groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.part").alias("main"))
+    return at.join(materialise(largest), "key")
+
+
+def _between(mixed: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs of one bucket but different components; a is outside the bucket's largest."""
+    known = materialise(mixed.select("key", "id", "part", "main").join(slim, "id"))
+    minor = _side(known.where("part <> main"), "a", "key", F.col("part").alias("part_a"))
+    every = _side(known, "b", "key", "main", F.col("part").alias("part_b"))
     # two minor members meet once
-    return minor.join(every, "key").where("part_a <> part_b and (part_b = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = (minor["key"] == every["key"]) & (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b"))) & _plausible(percent)
+    return minor.join(every, wanted).select("a", "b")
 
 
 def _with_ends(members: DataFrame) -> DataFrame:
@@ -252,16 +256,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     slim = materialise(classes.select("id", *_SKETCH).join(ids, "id", "left_semi"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = materialise(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
-    hot = buckets.where(F.col("n") > HOT).select(F.col("id").alias("doc_id")).distinct()
-    if not hot.isEmpty():
-        dealt = _with_ends(rare_prefixes(texts.join(hot, "doc_id", "left_semi"), percent).distinct())
-        buckets = materialise(buckets.where(F.col("n") <= HOT).unionByName(dealt))
 
     # members of a bucket against its ends
     first = buckets.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
-    links = materialise(confirm(_plausible_pairs(first, slim, percent), texts, percent))
-    # across components
-    rest = materialise(confirm(_plausible_pairs(_between(buckets, connected_components(links)), slim, percent), texts, percent))
+    first = first.join(_side(slim, "a"), "a").join(_side(slim, "b"), "b").where(_plausible(percent)).select("a", "b")
+    links = materialise(confirm(first, texts, percent))
+    # across components; members of hot buckets by their rare shingles
+    parts = connected_components(links)
+    mixed = materialise(_mixed(buckets.select("key", "id", "n"), parts))
+    hot = mixed.where(F.col("n") > HOT).select(F.col("id").alias("doc_id")).distinct()
+    if not hot.isEmpty():
+        dealt = materialise(rare_prefixes(texts.join(hot, "doc_id", "left_semi"), percent).distinct())
+        mixed = mixed.where(F.col("n") <= HOT).drop("n").unionByName(_mixed(dealt, parts))
+    rest = materialise(confirm(_between(mixed, slim, percent), texts, percent))
 
     whole = connected_components(links.unionByName(rest).unionByName(same))
     out = marked.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
