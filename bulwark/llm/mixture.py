@@ -39,6 +39,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD_SLOTS, MOST, SEED = 64, 4096, 3, 20_240
 #: Rows of one range of documents, and ranges at most (wider ones beyond); shards of one group, and of one task.
 RANGE_ROWS, RANGES, GROUP_SHARDS, TASK_SHARDS = 50_000, 20_000, 1024, 16
+#: Sources up to which their tables (a few rows each) are broadcast; beyond, they are joined by sorting.
+BROADCAST_SOURCES = 50_000
 # Factors of multiplicative generators modulo 2^31 - 1 (Fishman and Moore, 1986): fixed values.
 PRIME = 2_147_483_647
 FACTORS = (742_938_285, 950_706_376, 1_226_874_159, 62_089_911, 1_343_714_438)
@@ -120,6 +122,11 @@ def source_table(sized: DataFrame, most: int = MOST) -> DataFrame:
     return out.select("sid", "source", "source_size", "rows", "weight", "target", "blk", "blocks", "quota", "offset", "slots")
 
 
+def _small(table: DataFrame, many: int) -> DataFrame:
+    """A table with a few rows for each of ``many`` sources, hinted: the planner takes exploded rows for as few as before, and would broadcast those."""
+    return F.broadcast(table) if many <= BROADCAST_SOURCES else table.hint("merge")
+
+
 def _intervals(table: DataFrame, low: str, length: str, total: int, rows: int) -> tuple[DataFrame, int]:
     """(cell, low, high, ...): the intervals of a table cut at cells of equal width, about four cells for each row of the table.
 
@@ -155,7 +162,7 @@ def draw(sources: DataFrame, total: int, many: int) -> DataFrame:
     odds = (scattered(1, F.col("slot")) * PRIME + scattered(2, F.col("slot"))).cast("double") / float(PRIME * PRIME)
     numbers = numbers.withColumn("v", F.least(F.lit(total - 1).cast("long"), F.floor(odds * float(total)).cast("long")))
     cells, width = _intervals(sources.select("sid", F.col("offset").alias("low"), "quota"), "low", "quota", total, many)
-    drawn = numbers.withColumn("cell", F.floor(F.col("v") / width)).join(cells, "cell").where("v >= low and v < high")
+    drawn = numbers.withColumn("cell", F.floor(F.col("v") / width)).join(_small(cells, many), "cell").where("v >= low and v < high")
     lists = materialise(drawn.groupBy("shard", "sid").agg(F.sort_array(F.collect_list("slot")).alias("at")))  # a shard has SHARD_SLOTS at most
 
     # running counts of a source: within groups of shards, on top of those of the groups before
@@ -164,7 +171,7 @@ def draw(sources: DataFrame, total: int, many: int) -> DataFrame:
     groups = counts.groupBy("sid", "grp").agg(F.sum("n").alias("n")).select("sid", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("sid", "grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("run", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(groups, ["sid", "grp"]).select("sid", "shard", (F.col("base") + F.col("run")).alias("first"))
-    numbered = lists.join(first, ["sid", "shard"]).select("shard", "sid", "first", F.posexplode("at").alias("pos", "slot"))
+    numbered = lists.join(first.hint("merge"), ["sid", "shard"]).select("shard", "sid", "first", F.posexplode("at").alias("pos", "slot"))
     numbered = numbered.select("shard", "slot", "sid", (F.col("first") + F.col("pos")).alias("j"))
 
     # what was drawn beyond a quota goes to the sources that were drawn too seldom
@@ -175,13 +182,13 @@ def draw(sources: DataFrame, total: int, many: int) -> DataFrame:
     balance = balance.select("sid", "quota", "got", over.alias("over"), lack.alias("lack"))
     balance = materialise(balance.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("over", "lack")]).coalesce(1))
     spare = balance.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
-    placed = numbered.join(balance.select("sid", "quota", "over_before"), "sid")
+    placed = numbered.join(_small(balance.select("sid", "quota", "over_before"), many), "sid")
     kept = placed.where("j < quota").select("shard", "slot", "sid", "j")
     if not spare:
         return kept
     cells, width = _intervals(balance.select(F.col("sid").alias("to"), "got", "lack", F.col("lack_before").alias("low")), "low", "lack", spare, many)
     given = placed.where("j >= quota").select("shard", "slot", (F.col("over_before") + F.col("j") - F.col("quota")).alias("e"))
-    given = given.withColumn("cell", F.floor(F.col("e") / width)).join(cells, "cell").where("e >= low and e < high")
+    given = given.withColumn("cell", F.floor(F.col("e") / width)).join(_small(cells, many), "cell").where("e >= low and e < high")
     return kept.unionByName(given.select("shard", "slot", F.col("to").alias("sid"), (F.col("got") + F.col("e") - F.col("low")).alias("j")))
 
 
@@ -213,7 +220,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", most: int =
     sized = materialise(docs.select("doc_id", F.col(source).alias("source"), size.alias("size"), number.alias("key")))
     sources = materialise(source_table(sized, most).coalesce(1))
     total, rows, many = sources.agg(F.coalesce(F.max("slots"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
-    known = sized.join(sources.select("source", "sid", "blk"), sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "key", "sid", "blk")
+    named = sources.select("source", "sid", "blk")
+    known = sized.join(_small(named, many), sized["source"].eqNullSafe(named["source"])).select("doc_id", "size", "key", "sid", "blk")
     order = ["sid", F.col("doc_id").asc_nulls_first(), "size", "key"]
     ranges = min(RANGES, max(1, -(-rows // RANGE_ROWS)))
     # written, as the limits of the ranges are drawn anew by every run
@@ -222,7 +230,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", most: int =
     ahead = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("sid", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size", "key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("run", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(totals, ["sid", "part"])
+    placed = dealt.withColumn("run", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(totals.hint("merge"), ["sid", "part"])
     placed = placed.select("sid", "doc_id", "size", "key", "blk", (F.col("base") + F.col("run")).alias("start"))
     # floors of exact quotients: both sides stay far below 2^53
     first, last = F.floor(F.col("start") / F.col("blk")), F.floor((F.col("start") + F.col("size") - 1) / F.col("blk"))
@@ -231,12 +239,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", most: int =
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("blk"))
     spans = spans.select("sid", "start", "key", "size", "block", (low - F.col("start")).alias("low"), (high - low).alias("words"))
 
-    slots = _blocks_of_slots(draw(sources, total, many).join(sources.select("sid", "blocks"), "sid"))
+    slots = _blocks_of_slots(draw(sources, total, many).join(_small(sources.select("sid", "blocks"), many), "sid"))
 
     copies = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("copies"))
     # the planner takes exploded rows for as few as before: without the hint it would broadcast them
     taken = spans.join(copies.hint("merge"), ["sid", "block"]).groupBy("key").agg(F.sum(F.col("words") * F.col("copies")).alias("taken"))
-    out = known.join(taken.hint("merge"), "key", "left").join(sources.select("sid", "source", "source_size", "target"), "sid")
+    out = known.join(taken.hint("merge"), "key", "left").join(_small(sources.select("sid", "source", "source_size", "target"), many), "sid")
     return Mix(sources, slots, spans, out.select("key", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
 
 
