@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.llm.common import labelled_texts, slices, small_batches
+from bulwark.llm.common import give_back, labelled_texts, slices, small_batches
 from bulwark.llm.textkernel import Words, lower_ascii, text_buffer
 
 ORDER, SHARED, PLAIN = 8, 3, 6
 STRENGTH = 40.0
 RUN = 8
 PER_CLASS = 3072
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES = 6 << 20
 HOLD = 4
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -57,12 +57,19 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def grams(buf: np.ndarray, order: int) -> np.ndarray:
     """The last ``order`` bytes up to each position as one integer (positions before the first full one are padded)."""
     out = buf.astype(np.uint64)
-    wide = np.concatenate([np.full(order, 32, np.uint8), buf]).astype(np.uint64)
+    wide = np.concatenate([np.full(order, 32, np.uint8), buf])
     for k in range(1, order):
-        out |= wide[order - k : order - k + len(buf)] << np.uint64(8 * k)
+        out |= wide[order - k : order - k + len(buf)].astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs; ``keys`` is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).astype(np.int32) if len(keys) else np.zeros(0, np.int32)
+    return keys[first], np.diff(np.append(first, np.int32(len(keys))))
+
+
 def _low(keys: np.ndarray, order: int) -> np.ndarray:
     return keys & np.uint64((1 << (8 * order)) - 1)
 
@@ -100,9 +107,9 @@ class _Counts:
 
 def _tables(buf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(n-grams, Kneser-Ney counts) of orders 1 to ORDER: occurrences of the longest, distinct bytes before each shorter one."""
-    out = [np.unique(grams(buf, ORDER), return_counts=True)]
+    out = [_distinct(grams(buf, ORDER))]
     for k in range(ORDER - 1, 0, -1):
-        out.append(np.unique(_low(out[-1][0], k), return_counts=True))
+        out.append(_distinct(_low(out[-1][0], k)))
     return out[::-1]
 
 
@@ -247,9 +254,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     use = ~hold if len(set(y[hold])) == 2 else np.ones(len(y), bool)
     judged = hold if len(set(y[hold])) == 2 else use
     first = count([t for t, u in zip(texts, use, strict=True) if u], y[use])
+    give_back()
     x = Model._wide(np.concatenate([first.inputs(pa.array([texts[i]], pa.large_string())) for i in np.flatnonzero(judged)]))
     curve = _rising_logistic(x, y[judged])
     del first
+    give_back()
     model = count(texts, y)
     model.curve = curve
     return model
@@ -288,7 +297,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") ->
     order = sorted(range(found.num_rows), key=list(zip(found["rank"].to_pylist(), found["name"].to_pylist(), strict=True)).__getitem__)
     texts, y = found["text"].to_pylist(), found["label"].to_pylist()
     del found
-    return fit([texts[k] for k in order], [y[k] for k in order])
+    model = fit([texts[k] for k in order], [y[k] for k in order])
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

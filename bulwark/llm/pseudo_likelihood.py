@@ -169,30 +169,28 @@ class Network:
 class _Shard:
     """One pass over the texts of a shard, chunk by chunk."""
 
-    def __init__(self, known: Vocabulary, number: int):
-        self.known, self.number = known, number
+    def __init__(self, number: int):
+        self.number = number
         self.net, self.memory = Network(), np.full(Network.SIZE, 1e-8, np.float32)
         self.seen = self.chunks = self.held = 0
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, token: np.ndarray, ending: np.ndarray) -> None:
-        self.parts.append((token, ending))
-        self.held += len(token)
+    def add(self, ids: np.ndarray, classes: np.ndarray) -> None:
+        self.parts.append((ids, classes))
+        self.held += len(ids)
         if self.held >= CHUNK_WORDS:
             self.learn()
 
     def learn(self) -> None:
         if self.held:
-            token, ending = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
-            first = np.concatenate([[0], np.cumsum([len(p[0]) for p in self.parts])])
-            rank = self.known.ranks(token)
-            ctx, target = around(self.known.inputs(rank, ending), first), self.known.classes(rank, ending)
+            ids, target = (np.concatenate([p[k] for p in self.parts]).astype(np.int64) for k in (0, 1))
+            ctx = around(ids, np.concatenate([[0], np.cumsum([len(p[0]) for p in self.parts])]))
             # neighbours in a text say nearly the same: a step takes words from all over the chunk
-            order = np.random.default_rng([SEED, self.number, self.chunks]).permutation(len(token))
+            order = np.random.default_rng([SEED, self.number, self.chunks]).permutation(len(ids))
             for k in range(0, len(order), BATCH):
                 pick = order[k : k + BATCH]
                 self.net.step(ctx[pick], target[pick], self.memory)
-            self.seen += len(token)
+            self.seen += len(ids)
             self.chunks += 1
         self.parts, self.held = [], 0
 
@@ -239,25 +237,35 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     shards = max(1, -(-int(counts.sum()) // SHARD_WORDS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, shard = shared.value, np.zeros(Network.SIZE + 1, np.int64), None
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Inputs (two bytes a word), then classes (one byte): half of the text, and all that the network sees."""
+        known = shared.value
         for batch in slices(batches, "text"):
             token, ending, first = tokens(batch.column("text"))
-            for number, a, b in zip(batch.column("shard").to_pylist(), first[:-1], first[1:], strict=True):
+            rank = known.ranks(token)
+            ids, classes = known.inputs(rank, ending).astype("<u2"), known.classes(rank, ending).astype(np.uint8)
+            codes = [ids[a:b].tobytes() + classes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(codes, pa.binary())], names=["h", "code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shard = np.zeros(Network.SIZE + 1, np.int64), None
+        for batch in batches:
+            for number, code in zip(batch.column("shard").to_pylist(), batch.column("code").to_pylist(), strict=True):
                 if shard is None or shard.number != number:
                     if shard is not None:
                         total += shard.weighed()
-                    shard = _Shard(known, number)
-                if b > a:
-                    shard.add(token[a:b], ending[a:b])
+                    shard = _Shard(number)
+                if n := len(code) // 3:
+                    shard.add(np.frombuffer(code, "<u2", n), np.frombuffer(code, np.uint8, n, 2 * n))
         if shard is not None:
             total += shard.weighed()
         if total[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-    texts = docs.select(F.col(text).alias("text")).where(F.length("text") > 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    dealt = texts.select("text", "h", F.pmod("h", F.lit(shards)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "h")
-    sums = dealt.select("text", "shard").mapInArrow(run, "i long, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()  # one row per weight
+    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).where(F.length("text") > 0)
+    codes = texts.mapInArrow(coded, "h long, code binary").groupBy("h").agg(F.first("code").alias("code"))
+    dealt = codes.select("code", "h", F.pmod("h", F.lit(shards)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "h")
+    sums = dealt.select("code", "shard").mapInArrow(run, "i long, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()  # one row per weight
     found = {r["i"]: int(r["v"]) for r in sums}
     flat = np.array([found[i] / found[Network.SIZE] / FIXED for i in range(Network.SIZE)]) if found else Network().flat
     return Model(flat.astype(np.float32), vocabulary, words)
