@@ -33,8 +33,9 @@ def _ranked(df: DataFrame, values: Sequence[Column], ranks: Sequence[int], n: in
     """For each value column, its order statistics of the given neighbouring ranks (from 1) over n rows without nulls.
 
     Small inputs are sorted whole.  Larger ones take a sketch of two
-    quantiles around the ranks, then count what lies below the bracket and sort
-    what lies in it: two jobs for all columns, with about n / 2000 values kept.
+    quantiles around the ranks, then count what lies below the bracket and at its
+    ends and sort what lies between: two jobs for all columns, with about n / 2000
+    values kept and no value at an end, so one that many rows share is not gathered.
     """
     if n <= SMALL_ROWS or n > EXACT_ROWS:
         # sorted values rather than percentile(), which interpolates and so rounds
@@ -46,12 +47,15 @@ def _ranked(df: DataFrame, values: Sequence[Column], ranks: Sequence[int], n: in
     brackets = _run(df, [F.percentile_approx(v, [low, high], SKETCH) for v in values])
     aggregates = []
     for v, (a, z) in zip(values, brackets, strict=True):
-        aggregates += [F.sum(F.when(v < float(a), 1).otherwise(0)), F.sort_array(F.collect_list(F.when((v >= float(a)) & (v <= float(z)), v)))]
+        # ties at the ends are counted, so a value that fills the bracket is never gathered
+        aggregates += [F.sum(F.when(v < float(a), 1).otherwise(0)), F.sum(F.when(v == float(a), 1).otherwise(0)), F.sum(F.when(v == float(z), 1).otherwise(0)), F.sort_array(F.collect_list(F.when((v > float(a)) & (v < float(z)), v)))]
     got, out = _run(df, aggregates), []
-    for k in range(len(values)):
-        below, inside = got[2 * k], got[2 * k + 1]
-        if below < min(ranks) and below + len(inside) >= max(ranks):
-            out.append([inside[r - below - 1] for r in ranks])
+    for k, (a, z) in enumerate(brackets):
+        below, first, last, inside = got[4 * k : 4 * k + 4]
+        at = lambda r: float(a) if r <= first else inside[r - first - 1] if r <= first + len(inside) else float(z)  # noqa: B023, E731
+        held = first + len(inside) + (last if float(z) > float(a) else 0)
+        if below < min(ranks) and below + held >= max(ranks):
+            out.append([at(r - below) for r in ranks])
         else:  # the sketch promises its error, but the promise is checked
             out.append(_run(df, [F.percentile(values[k], F.lit((r - 1) / (n - 1))) for r in ranks]))
     return out
