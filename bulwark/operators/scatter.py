@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bulwark.functions.kernels import MAD_NORMAL, covariance_to_correlation, mahalanobis, quadratic_form, wrap_psi_np
+from bulwark.functions.kernels import covariance_to_correlation, mahalanobis, quadratic_form
 from bulwark.functions.special import chi2_ppf, gamma_cdf, norm_ppf
 from bulwark.operators.preprocessing import wrapping_transformation
 from bulwark.operators.univariate import MedianMad, Qn, RobustScale, kth_pair_difference, qn_factor
@@ -385,13 +385,6 @@ class DetMCD(_Mcd):
         return np.diag(s) @ u @ np.diag(s)
 
 
-def wrapped_correlation(x: np.ndarray) -> np.ndarray:
-    """Correlation of wrapped standardised columns, on the driver."""
-    m = np.median(x, axis=0)
-    s = np.median(np.abs(x - m), axis=0) / MAD_NORMAL
-    return np.corrcoef(wrap_psi_np((x - m) / np.where(s > 0, s, 1.0)), rowvar=False)
-
-
 def c_steps(rows: DataFrame, columns: Sequence[str], location: np.ndarray, cov: np.ndarray, h: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(location, covariance, determinant) after so many concentration steps on all rows, from a given start."""
     n = rows.count()

@@ -63,12 +63,3 @@ def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inn
 
 def median(x: Column | str) -> Column:
     return F.median(x)
-
-
-def rank_average(partition, order: str) -> Column:
-    """Average rank (ties share the mean of their ranks)."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*partition).orderBy(order)
-    ties = Window.partitionBy(*partition, order)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2

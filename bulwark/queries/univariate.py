@@ -119,11 +119,11 @@ def adjusted_boxplot_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("feature", "medcouple"), 4, "median", "q1", "q3", "lower_whisker", "upper_whisker")
 
 
-@query("boxplot_fliers", sql="""with m as (select event_type, median(value) as m from events where event_id % 10 = 0 group by 1), x as (select event_type, value as x, m from events join m using (event_type) where event_id % 10 = 0),
+@query("boxplot_fliers", sql="""with m as (select event_type, median(value) as m from events group by 1), x as (select event_type, value as x, m from events join m using (event_type)),
  mc as (select a.event_type, median(case when b.x > a.x then (b.x - 2 * a.m + a.x) / (b.x - a.x) else 0 end) as mc from x a join x b on a.event_type = b.event_type and a.x <= a.m and b.x >= b.m group by 1),
- q as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events where event_id % 10 = 0 group by 1)
- select event_type, event_id, round(value, 4) as value from events join mc using (event_type) join q using (event_type) where event_id % 10 = 0
- and (value < q1 - 1.5 * exp(case when mc >= 0 then -4 else -3 end * mc) * (q3 - q1) or value > q3 + 1.5 * exp(case when mc >= 0 then 3 else 4 end * mc) * (q3 - q1))""".replace(" where event_id % 10 = 0\n and (", "\n where (").replace(" where event_id % 10 = 0", ""))
+ q as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events group by 1)
+ select event_type, event_id, round(value, 4) as value from events join mc using (event_type) join q using (event_type)
+ where (value < q1 - 1.5 * exp(case when mc >= 0 then -4 else -3 end * mc) * (q3 - q1) or value > q3 + 1.5 * exp(case when mc >= 0 then 3 else 4 end * mc) * (q3 - q1))""")
 def boxplot_fliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = U.boxplot_fliers(table(spark, sf_dir, "events"), ["value"], "event_id", ["event_type"])
     return rounded(out.drop("feature"), 4, "value")
