@@ -65,7 +65,7 @@ STAGES = [
     ("mixing sources to target weights", mix),
     ("byte-level BPE", tokenise),
 ]
-#: No SQL expresses the trained classifier; tests hold each stage against a brute-force version.
+#: No SQL expresses the trained classifier.  Tests hold the operators of the stages against brute force; of the whole they check columns and counts only.
 ORACLE_SQL = None
 
 
