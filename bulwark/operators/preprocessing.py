@@ -283,7 +283,7 @@ class RobustPowerTransformer:
     """Box-Cox or Yeo-Johnson with a lambda that the tails can't pull.
 
     The driver searches on the sorted column if it has at most POWER_POINTS
-    values, else on that many of its quantiles (bounded whatever the input).
+    values, else on that many of its quantiles, the ends exact (bounded whatever the input).
     """
 
     method: str = "yeojohnson"
@@ -298,7 +298,9 @@ class RobustPowerTransformer:
         if n <= POWER_POINTS:
             return np.sort(x.toPandas()["x"].to_numpy())
         probs = [(i + 0.5) / POWER_POINTS for i in range(POWER_POINTS)]
-        return np.array(x.agg(F.percentile_approx("x", probs, 10 * POWER_POINTS)).first()[0])
+        inner, least, most = x.agg(F.percentile_approx("x", probs, 10 * POWER_POINTS), F.min("x"), F.max("x")).first()
+        # the ends are exact: they decide whether all values are positive
+        return np.array([least, *inner[1:-1], most])
 
     def fit(self, df: DataFrame, column: str) -> PowerModel:
         x = self.sorted_values(df, column)

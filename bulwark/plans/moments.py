@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +99,28 @@ def subset_moments(df: DataFrame, columns: Sequence[str], masks: Sequence[Column
     return out
 
 
+def block_sums(df: DataFrame, columns: Sequence[str], of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of the vector that ``of`` makes of a block of them; for many columns, where p x p aggregates grow too large to compile.
+
+    Every task adds its blocks up and sends one vector; those are added by place.
+    ``of`` gets an empty block too, so an empty table gives the sum of nothing.
+    """
+    names = list(columns)
+    ship(df.sparkSession)
+    nothing = np.asarray(of(np.empty((0, len(names)))), dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = nothing.copy()
+        for batch in batches:
+            total += of(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+    got = df.select(*names).mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = nothing.copy()
+    out[got["at"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
 def weighted_gram_and(df: DataFrame, x: Sequence[Column], y: Column, weights: Sequence[Column], more: Sequence[Column]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
     """(X'WX, X'Wy) for each weight column, and further aggregates, in one scan."""
     p = len(x)

@@ -258,8 +258,9 @@ def robpca_outlier_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("embedding_pca")
 def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    df = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    model = pca.SphericalPca(n_components=3).fit(df, [f"e{i}" for i in range(8)])
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    df = e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
+    model = pca.SphericalPca(n_components=3).fit(df, [f"e{i}" for i in range(width)])
     return rounded(model.transform(df, ["vec_id"]), 3, "pc1", "pc2", "pc3")
 
 
