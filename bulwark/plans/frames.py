@@ -93,3 +93,11 @@ def median_by(df: DataFrame, by: Sequence[str], value: Column, name: str = "medi
     # the sketch promises its error, but the promise is checked
     missed = F.raise_error(F.lit("a median lies outside its bracket")).cast("double")
     return middle.select(*by, F.when(x.isNull() | y.isNull(), missed).otherwise((x + y) / 2).alias(name))
+
+
+def settle(statistics: DataFrame) -> DataFrame:
+    """Statistics of a bounded number of groups (columns, pairs of columns) worked out now; plans that join them stay flat.
+
+    Not for groups that come from data: their number has no bound.
+    """
+    return statistics.sparkSession.createDataFrame(statistics.collect(), statistics.schema)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bulwark.plans import moments
+from bulwark.plans.frames import median_by
+from bulwark.plans.moments import block_sums
 
 
 @pytest.mark.parametrize("n", [5, 1000, 30_001, 30_002])
@@ -46,3 +48,21 @@ def test_sample_takes_rows_not_values(spark):
     assert x.shape == (1500, 2) and np.array_equal(x, moments.hashed_sample(df.repartition(7), ["a", "b"], 1500))
     assert len(np.unique(x[x[:, 0] > 1][:, 0])) > 700  # of 4000 values with 3 rows each
     assert len(moments.hashed_sample(df, ["a", "b"], 20_000)) == 18_000 and len(moments.hashed_sample(df.limit(0), ["a", "b"], 5)) == 0
+
+
+def test_medians_by_group_are_exact_with_ties_nulls_and_any_size(spark):
+    rng = np.random.default_rng(5)
+    groups = {"even": rng.normal(size=30_000), "odd": rng.normal(size=30_001), "tied": rng.integers(0, 3, 20_000).astype(float), "half": np.repeat([0.0, 1.0], 500), "one": np.array([7.0]), "two": np.array([1.0, 4.0]), None: np.arange(9.0)}
+    pdf = pd.concat([pd.DataFrame({"k": k, "v": v}, dtype=object) for k, v in groups.items()])
+    df = spark.createDataFrame([(k, float(v)) for k, v in pdf.itertuples(index=False)] + [("even", None), ("nothing", None)], "k string, v double").repartition(5)
+    found = {r["k"]: r["m"] for r in median_by(df, ["k"], F.col("v"), "m").collect()}
+    assert found == {k: float(np.median(v)) for k, v in groups.items()}
+    assert median_by(df.where("false"), ["k"], F.col("v")).count() == 0
+
+
+def test_block_sums_add_up_over_all_tasks_and_nothing(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 12))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(12)])).repartition(7)
+    got = block_sums(df, df.columns, lambda b: (b.T @ b).ravel())
+    assert np.allclose(got.reshape(12, 12), x.T @ x)
+    assert not block_sums(df.where("false"), df.columns, lambda b: (b.T @ b).ravel()).any()
