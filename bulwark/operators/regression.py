@@ -18,7 +18,7 @@ from bulwark.functions.kernels import MAD_NORMAL, Rho, Tukey, mahalanobis
 from bulwark.functions.special import chi2_ppf, norm_ppf
 from bulwark.operators.scatter import FastMCD
 from bulwark.plans.frames import numeric
-from bulwark.plans.moments import hashed_sample, medians, order_statistics, weighted_gram, weighted_gram_and
+from bulwark.plans.moments import bracket_rows, grams_of, hashed_sample, medians, medians_of, order_statistics, ranks_of, weighted_gram, weighted_gram_and
 
 SAMPLE_ROWS = 1500
 
@@ -82,14 +82,18 @@ class RegressionModel:
     def outlier_map(self, df: DataFrame, id_column: str, robust_scaling: bool = True, robust_distance: bool = True, vertical: float = 2.5, leverage_quantile: float = 0.975) -> DataFrame:
         """(id, residual, standardised, distance, kind): regular, vertical outlier, good leverage or bad leverage."""
         rows = numeric(df, [*self.features, self.label], [id_column]).dropna()
-        n = rows.count()
         r = self.residual()
-        if robust_scaling:
-            m = medians(rows, [r], n)[0]
-            s = medians(rows, [F.abs(r - float(m))], n)[0] / MAD_NORMAL
-        else:
-            s = rows.agg(F.stddev_pop(r)).first()[0]
-        model = FastMCD().fit(rows, self.features)
+        held = rows.select(*self.features, self.label).persist()  # several jobs read it
+        try:
+            if robust_scaling:
+                n = held.count()
+                m = medians(held, [r], n)[0]
+                s = medians(held, [F.abs(r - float(m))], n)[0] / MAD_NORMAL
+            else:
+                s = held.agg(F.stddev_pop(r)).first()[0]
+            model = FastMCD().fit(held, self.features)
+        finally:
+            held.unpersist()
         at = (model.location, model.covariance) if robust_distance else (model.classical_location, model.classical_covariance)
         d = mahalanobis([F.col(c) for c in self.features], *at)
         return classify(rows.select(id_column, r.alias("residual"), (r / float(s)).alias("standardised"), d.alias("distance")), vertical, math.sqrt(chi2_ppf(leverage_quantile, len(self.features))))
@@ -116,13 +120,13 @@ def _distinct(found: list[tuple[float, np.ndarray]]) -> list[np.ndarray]:
 class _Base:
     fit_intercept = True
 
-    def _frame(self, df: DataFrame, features: Sequence[str], label: str) -> tuple[DataFrame, int, list[Column], Column, np.ndarray]:
+    def _frame(self, df: DataFrame, features: Sequence[str], label: str, sampled: bool = True) -> tuple[DataFrame, int, list[Column], Column, np.ndarray | None]:
         rows = numeric(df, [*features, label]).dropna().persist()
         n = rows.count()
         if n <= len(features) + 1:
             raise ValueError(f"{n} complete rows are too few for {len(features)} features")
         x = [F.col(c) for c in features] + ([F.lit(1.0)] if self.fit_intercept else [])
-        sample = hashed_sample(rows, [*features, label], SAMPLE_ROWS)
+        sample = hashed_sample(rows, [*features, label], SAMPLE_ROWS) if sampled else None
         return rows, n, x, F.col(label), sample
 
     def _model(self, beta: np.ndarray, features: Sequence[str], label: str, scale: float, details: dict) -> RegressionModel:
@@ -134,6 +138,12 @@ def _residual(x: list[Column], y: Column, beta: np.ndarray) -> Column:
     return y - sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
 
 
+def _residuals(v: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Residuals (rows x K) of K coefficient vectors, the label in the last column; the same for a row in whatever block it comes."""
+    columns = np.ascontiguousarray(v.T)
+    return np.array([columns[-1] - sum((c * b for c, b in zip([*columns[:-1], 1.0], row, strict=False)), 0.0) for row in beta]).T
+
+
 def _matrix(sample: np.ndarray, intercept: bool) -> tuple[np.ndarray, np.ndarray]:
     x = sample[:, :-1]
     return (np.column_stack([x, np.ones(len(x))]) if intercept else x), sample[:, -1]
@@ -165,11 +175,18 @@ class FastLTS(_Base):
             h = max(int(self.alpha * n), int((n + p + 1) / 2))
             live = self._starts(sample, h / n)
             losses = [math.inf] * len(live)
+            names = [*features, label]
+            some = bracket_rows(rows, names, n)
             for step in range(1, self.most_steps + 1):
-                r2 = [_residual(x, y, b) ** 2 for b in live]
-                cuts = order_statistics(rows, r2, h, n)
-                masks = [v <= float(t) for v, t in zip(r2, cuts, strict=True)]
-                grams, new = weighted_gram_and(rows, x, y, [F.when(m, 1.0).otherwise(0.0) for m in masks], [F.avg(F.when(m, v)) for m, v in zip(masks, r2, strict=True)])
+                beta = np.array(live)
+                cuts = ranks_of(rows, names, lambda v: _residuals(v, beta) ** 2, h, n, some)  # noqa: B023
+
+                def trimmed(v: np.ndarray, beta: np.ndarray = beta, cuts: np.ndarray = cuts) -> tuple[np.ndarray, np.ndarray]:
+                    r2 = _residuals(v, beta) ** 2
+                    return (r2 <= cuts).astype(float), np.where(r2 <= cuts, r2, 0.0)
+
+                grams, losses_sum, kept = grams_of(rows, names, self.fit_intercept, trimmed)
+                new = losses_sum / kept
                 order = np.argsort(new)
                 best, loss = live[order[0]], float(new[order[0]])
                 if all(abs(a - b) <= max(self.tolerance, 1e-12 * abs(b)) for a, b in zip(losses, new, strict=True)):
@@ -248,11 +265,18 @@ class SRegression(_Base):
         rows, n, x, y, sample = self._frame(df, features, label)
         try:
             live = self._starts(sample)
-            scales = [float(v) for v in medians(rows, [F.abs(_residual(x, y, b)) for b in live], n) / MAD_NORMAL]
+            names, beta = [*features, label], np.array(live)
+            scales = [float(v) for v in medians_of(rows, names, lambda v: np.abs(_residuals(v, beta)), np.full(len(live), n)) / MAD_NORMAL]
             for step in range(1, self.most_steps + 1):
                 # one job: Gram matrices at the scale so far, and the fixed-point step of that scale
-                r = [_residual(x, y, b) / max(s, 1e-300) for b, s in zip(live, scales, strict=True)]
-                grams, means = weighted_gram_and(rows, x, y, [self.rho.weight(v) for v in r], [F.avg(self.rho.rho(v)) for v in r])
+                beta, unit = np.array(live), np.maximum(scales, 1e-300)
+
+                def weighed(v: np.ndarray, beta: np.ndarray = beta, unit: np.ndarray = unit) -> tuple[np.ndarray, np.ndarray]:
+                    r = _residuals(v, beta) / unit
+                    return self.rho.weight_np(r), self.rho.rho_np(r)
+
+                grams, sums, _ = grams_of(rows, names, self.fit_intercept, weighed)
+                means = sums / n
                 new = [_solve(*g) for g in grams]
                 after = [s * math.sqrt(float(m) / self._level()) for s, m in zip(scales, means, strict=True)]
                 order = np.argsort(after)
@@ -321,7 +345,7 @@ class MMRegression(_Base):
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> RegressionModel:
         start = self.initial_estimator.fit(df, features, label)
-        rows, n, x, y, _ = self._frame(df, features, label)
+        rows, n, x, y, _ = self._frame(df, features, label, sampled=False)
         try:
             beta = np.append(start.coefficients, start.intercept)
             old, s = None, max(start.scale, 1e-300)
