@@ -18,7 +18,7 @@ from bulwark.functions.kernels import MAD_NORMAL, Rho, Tukey, mahalanobis
 from bulwark.functions.special import chi2_ppf, norm_ppf
 from bulwark.operators.scatter import FastMCD
 from bulwark.plans.frames import numeric
-from bulwark.plans.moments import bracket_rows, grams_of, hashed_sample, medians, medians_of, order_statistics, ranks_of, weighted_gram, weighted_gram_and
+from bulwark.plans.moments import TrimmedSums, gram_from, gram_terms, grams_of, hashed_sample, medians, medians_of, order_statistics, weighted_gram, weighted_gram_and
 
 SAMPLE_ROWS = 1500
 
@@ -176,23 +176,18 @@ class FastLTS(_Base):
             live = self._starts(sample, h / n)
             losses = [math.inf] * len(live)
             names = [*features, label]
-            some = bracket_rows(rows, names, n)
+            sums = TrimmedSums(rows, names, gram_terms(self.fit_intercept), h, n)
             for step in range(1, self.most_steps + 1):
                 beta = np.array(live)
-                cuts = ranks_of(rows, names, lambda v: _residuals(v, beta) ** 2, h, n, some)  # noqa: B023
-
-                def trimmed(v: np.ndarray, beta: np.ndarray = beta, cuts: np.ndarray = cuts) -> tuple[np.ndarray, np.ndarray]:
-                    r2 = _residuals(v, beta) ** 2
-                    return (r2 <= cuts).astype(float), np.where(r2 <= cuts, r2, 0.0)
-
-                grams, losses_sum, kept = grams_of(rows, names, self.fit_intercept, trimmed)
-                new = losses_sum / kept
+                got = sums.step(lambda v: _residuals(v, beta) ** 2)  # noqa: B023
+                grams, new = [gram_from(row, len(x)) for row in got], got[:, -1] / got[:, 0]
                 order = np.argsort(new)
                 best, loss = live[order[0]], float(new[order[0]])
                 if all(abs(a - b) <= max(self.tolerance, 1e-12 * abs(b)) for a, b in zip(losses, new, strict=True)):
                     break
                 keep = order[: max(1, len(order) // 2)] if step > 1 else order
                 live, losses = [_solve(*grams[i]) for i in keep], [float(new[i]) for i in keep]
+                sums.keep(keep)
             scale = correction_factor(p, n, h / n) * math.sqrt(loss)
             details = {"h": h, "raw_coefficients": best.copy(), "raw_scale": scale, "n_steps": step}
             if self.reweighting:
@@ -275,7 +270,7 @@ class SRegression(_Base):
                     r = _residuals(v, beta) / unit
                     return self.rho.weight_np(r), self.rho.rho_np(r)
 
-                grams, sums, _ = grams_of(rows, names, self.fit_intercept, weighed)
+                grams, sums = grams_of(rows, names, self.fit_intercept, weighed)
                 means = sums / n
                 new = [_solve(*g) for g in grams]
                 after = [s * math.sqrt(float(m) / self._level()) for s, m in zip(scales, means, strict=True)]

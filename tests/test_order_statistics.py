@@ -66,3 +66,28 @@ def test_block_sums_add_up_over_all_tasks_and_nothing(spark):
     got = block_sums(df, df.columns, lambda b: (b.T @ b).ravel())
     assert np.allclose(got.reshape(12, 12), x.T @ x)
     assert not block_sums(df.where("false"), df.columns, lambda b: (b.T @ b).ravel()).any()
+
+
+def test_no_switch_by_size(spark, monkeypatch):
+    """Ranks are exact beyond what is gathered, too; there is no size from which they are approximate."""
+    assert not hasattr(moments, "EXACT_ROWS") and not hasattr(moments, "SMALL_ROWS")
+    monkeypatch.setattr(moments, "GATHERED", 50)
+    monkeypatch.setattr(moments, "BRACKET_ROWS", 40)
+    x = np.random.default_rng(8).standard_cauchy(20_000)
+    x[:3000], x[3000], x[3001] = 0.5, np.inf, -np.inf
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(4)
+    for rank in (1, 2, 777, 10_000, 10_001, 19_999, 20_000):
+        assert moments.order_statistics(df, [F.col("x")], rank, 20_000) == [np.sort(x)[rank - 1]]
+
+
+def test_trimmed_sums_follow_moving_values(spark):
+    x = np.random.default_rng(2).integers(0, 30, (30_000, 2)).astype(float) + np.random.default_rng(3).choice([0.0, 0.25], (30_000, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).repartition(4).persist()
+    sums = moments.TrimmedSums(df, ["a", "b"], moments.moment_terms(np.zeros(2)), 15_500, 30_000)
+    for at in (3.0, 3.2, 3.21, 3.21, 9.0):
+        values = lambda v, at=at: np.abs(v - at) ** 2
+        for row, v in zip(sums.step(values), values(x).T, strict=True):
+            under = v <= np.sort(v)[15_499]
+            n, mean, cov = moments.moments_from(row, np.zeros(2))
+            assert n == under.sum() and np.allclose(mean, x[under].mean(axis=0)) and np.allclose(cov, np.cov(x[under], rowvar=False)) and np.isclose(row[-1], v[under].sum())
+    df.unpersist()
