@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bulwark.functions import special
 from bulwark.operators import univariate as U
@@ -180,3 +181,23 @@ def test_cleaner(spark):
     assert model.dropped["non_numeric"] == ("name", "logic") and model.dropped["row_numbers"] == ("i",)
     assert model.dropped["discrete"] == ("Vdis",) and model.dropped["small_scale"] == ("V0s",) and model.dropped["missing"] == ("Vna",)
     assert model.transform(df).count() == 8
+
+
+def test_qn_by_pairs_counts_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(U, "PAIR_BLOCK", 16)
+    rng = np.random.default_rng(11)
+    groups = {"a": rng.normal(size=300) * 1e3, "b": np.round(rng.normal(size=201), 1), "c": np.full(40, 3.0), "d": np.array([1.0, 4.0]), "e": np.array([2.0]), None: np.repeat([0.0, 5.0], 30)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x], "k string, value double").repartition(3)
+    found = {r["k"]: r["d"] for r in U.pair_gaps(df, ["k"]).collect()}
+    for k, x in groups.items():
+        gaps, h = np.sort(np.abs(x[:, None] - x)[np.triu_indices(len(x), 1)]), len(x) // 2 + 1
+        if len(x) > 1:
+            assert found[k] == pytest.approx(gaps[h * (h - 1) // 2 - 1], abs=1e-12)
+    assert set(found) == set(groups) - {"e"}
+
+
+def test_qn_by_pairs_lists_no_pairs(spark):
+    # a self-join of these rows would list 1,800 million pairs
+    df = spark.range(0, 60_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("value"))
+    x, h = np.arange(60_000.0), 30_001
+    assert U.pair_gaps(df, ["k"]).first()["d"] == U.kth_pair_difference(x, h * (h - 1) // 2)
