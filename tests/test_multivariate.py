@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bulwark.functions.kernels import inverse_submatrix, mahalanobis
 from bulwark.operators import pca, regression, scatter
+from bulwark.plans import frames
 
 COV = np.array([[1.0, 0.6, 0.2], [0.6, 1.0, 0.4], [0.2, 0.4, 1.0]])
 
@@ -135,3 +136,31 @@ def test_stahel_donoho_takes_all_rows(spark):
     x = s[["a", "b"]].to_numpy()
     d = np.abs(x - np.median(x, axis=0))
     np.testing.assert_allclose(s["outlyingness"], (d / np.median(d, axis=0)).max(axis=1), rtol=1e-9)
+
+
+def test_stahel_donoho_reads_its_rows_once_to_fit_and_once_to_score(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 3000).select("id", (F.col("id") * F.col("id") % 3011).cast("double").alias("a"), F.log1p(F.col("id")).alias("b"))
+    df = df.mapInArrow(counted, "id long, a double, b double")
+    assert len(pca.stahel_donoho(df, ["a", "b"], n_dir=5, keep=["id"]).collect()) == 3000
+    assert read.value == 6000
+
+
+def test_complete_rows_work_each_column_out_once(spark):
+    text = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None), (None, "d e")], "id long, text string")
+    words = F.split("text", " ", -1)
+    df = text.select("id", F.size(F.array_distinct(words)).alias("n"), F.when(F.col("id") != 2, F.col("id")).otherwise(float("nan")).alias("x"))
+    for columns in (["n"], ["n", "x"]):
+        found = frames.complete(df, columns, ["id"])
+        plain = frames.numeric(df, columns, ["id"]).dropna()
+        assert found.schema.names == plain.schema.names and found.collect() == plain.collect()
+        assert found._jdf.queryExecution().executedPlan().toString().count("array_distinct(") == 1
+    assert found.collect() == [(1, 2.0, 1.0)]
+    with pytest.raises(TypeError):
+        frames.complete(text, ["text"])
